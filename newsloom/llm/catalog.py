@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import leaks, splits, textform
+from newsloom.llm import leaks, splits, textform, token_ids
 from newsloom.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(table(spark, d, "el_training"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids.token_ids(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
