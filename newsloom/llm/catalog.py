@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import leaks, splits, textform, token_ids
+from newsloom.llm import leaks, sentences, splits, textform, token_ids
 from newsloom.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.look_alike_pairs(_look_alike_values(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles").select(F.lit("content").alias("field"), F.col("id").alias("rec_key"), F.col("content").alias("text"), F.lit(False).alias("whole"))
+    stored = table(spark, d, "tag_sequences").select(
+        F.lit("sentence").alias("field"), F.concat("aid", F.lit("/"), F.col("sidx").cast("string")).alias("rec_key"), F.col("sentence").alias("text"), (F.col("sidx") == 0).alias("whole")
+    )
+    rows = spread(articles).unionByName(spread(stored))
+    return sentences.sentence_units(rows, sentences.corpus_evidence(rows))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.record_groups(table(spark, d, "el_training")).select("sample_id", "group_form")
 
