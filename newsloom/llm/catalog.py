@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import leaks, sentences, splits, textform, token_ids
+from newsloom.llm import cuts, leaks, sentences, splits, textform, token_ids
 from newsloom.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.cut_documents(table(spark, d, "documents"))
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.cuts_by_source(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
