@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import cuts, leaks, sentences, splits, textform, token_ids
+from newsloom.llm import cuts, leaks, near_duplicates, sentences, splits, textform, token_ids
 from newsloom.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.look_alike_pairs(_look_alike_values(spark, d))
 
 
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "articles").select(F.col("id").alias("key"), F.col("content").alias("value"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.grouped_pairs(_contents(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.text_groups(_contents(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles").select(F.lit("content").alias("field"), F.col("id").alias("rec_key"), F.col("content").alias("text"), F.lit(False).alias("whole"))
     stored = table(spark, d, "tag_sequences").select(
