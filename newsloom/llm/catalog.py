@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import cuts, leaks, near_duplicates, sentences, splits, textform, token_ids
+from newsloom.llm import cuts, leaks, near_duplicates, page_bodies, sentences, splits, textform, token_ids
 from newsloom.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_bodies.page_bodies(table(spark, d, "crawled_pages"))
+
+
 def _look_alike_values(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles").select(F.lit("content").alias("field"), F.col("id").alias("key"), F.col("content").alias("value"))
     entities = table(spark, d, "entities")
