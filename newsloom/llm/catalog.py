@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import cuts, leaks, near_duplicates, page_bodies, sentences, splits, textform, token_ids
+from newsloom.llm import cuts, leaks, name_variants, near_duplicates, page_bodies, sentences, splits, textform, token_ids
 from newsloom.plans.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.link_variants(table(spark, d, "mentions"), table(spark, d, "entities"), table(spark, d, "aliases"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return page_bodies.page_bodies(table(spark, d, "crawled_pages"))
 
