@@ -18,14 +18,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.sentences import BRACKETS, Evidence, _quote_pairs, sentence_spans
+from newsloom.llm.sentences import _OPENS, _PARAGRAPH, BRACKETS, Evidence, _quote_pairs, sentence_spans
 from newsloom.plans.runtime import cut, spread
 
 ORDER = 5
@@ -49,24 +49,28 @@ _SCRIPTS = (("th", re.compile("[ก-๛]")), ("hi", re.compile("[ऀ-ॿ]")), ("
 
 def script_of(text: str) -> str:
     """The script of a text: the first of Thai, Devanagari, kana, Han that makes up a tenth of it, else Latin."""
+    if text.isascii():
+        return "la"
     part = text[-600:] if len(text) > 600 else text
     for name, pattern in _SCRIPTS:
-        if len(pattern.findall(part)) * 10 >= len(part):
+        if pattern.search(part) and len(pattern.findall(part)) * 10 >= len(part):
             return name
     return "la"
 
 
 def without_torn_end(text: str) -> str:
     """The text before what stands behind a break."""
-    last = None
-    while last != text:
-        last, text = text, _TORN.sub("", text)
-    return text
+    while True:
+        tail = text[-80:]
+        kept = _TORN.sub("", tail)
+        if len(kept) == len(tail):
+            return text
+        text = text[: len(text) - len(tail)] + kept
 
 
 def _state(unit: str) -> str:
     """o: a quote or bracket is open; q: the unit is one quotation; else n."""
-    if not re.search("[「『“‘„«（(《\"]", unit):
+    if not _OPENS.search(unit):
         return "n"
     pairs = _quote_pairs(unit)
     opened = sum(unit.count(c) for c in "「『“„«（(《")
@@ -79,42 +83,50 @@ def _state(unit: str) -> str:
     return "n"
 
 
-def _contexts(unit: str) -> list[str]:
-    """The characters before the end of a unit, figures as 9, one string for each order, shortest first."""
-    tail = _DIGITS.sub("9", unit[-4 * ORDER :])
-    tail = ("^" + tail)[-ORDER:]
-    return [tail[-k:] for k in range(1, len(tail) + 1)]
+def _context(unit: str) -> str:
+    """The last ORDER characters before the end of a unit, figures as 9, with a mark where the unit begins."""
+    return ("^" + _DIGITS.sub("9", unit[-4 * ORDER :]))[-ORDER:]
+
+
+def _suffixes(context: str) -> list[str]:
+    """The context of every order, shortest first."""
+    return [context[-k:] for k in range(1, len(context) + 1)]
 
 
 def _units(text: str, evidence: Evidence) -> list[str]:
     return [text[a:b] for a, b in sentence_spans(text, evidence)]
 
 
+def _last_paragraph(text: str) -> tuple[bool, str]:
+    """Whether anything but blanks stands before the last paragraph that isn't blank, and that paragraph."""
+    parts = [p for p in _PARAGRAPH.split(text) if p.strip()]
+    return len(parts) > 1, parts[-1] if parts else ""
+
+
+def _head(unit: str) -> str:
+    return _DIGITS.sub("9", unit[:12])[:TAIL_HEAD]
+
+
 def _heads(unit: str) -> list[str]:
-    start = _DIGITS.sub("9", unit[:12])
-    return [start[:k] for k in range(1, min(TAIL_HEAD, len(start)) + 1)]
+    head = _head(unit)
+    return [head[:k] for k in range(1, len(head) + 1)]
 
 
 def _counted(text: str, evidence: Evidence, ends: Counter, heads: Counter) -> None:
     units = _units(text, evidence)
     if len(units) < 2:
         return
+    last = len(units) - 1
     for i, unit in enumerate(units):
-        last = i == len(units) - 1
-        for h in _heads(unit):
-            heads[h, last] += 1
-        if last or len(unit) < 2:
+        heads[_head(unit), i == last] += 1
+        if i == last or len(unit) < 2:
             continue
         place, script = "first" if i == 0 else "later", script_of(unit)
-        key = f"{script}|{place}|{_state(unit)}|"
-        for c in _contexts(unit):
-            ends[key + c, True] += 1
+        ends[script, place, _state(unit), _context(unit), True] += 1
         at = 1 + zlib.crc32(unit.encode("utf-8", "surrogatepass")) % (len(unit) - 1)
         part = unit[:at].rstrip()
         if part:
-            key = f"{script}|{place}|{_state(part)}|"
-            for c in _contexts(part):
-                ends[key + c, False] += 1
+            ends[script, place, _state(part), _context(part), False] += 1
 
 
 def end_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,11 +138,16 @@ def end_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         heads: Counter = Counter()
 
         def out() -> pd.DataFrame:
-            rows = [("c", k, n if e else 0, 0 if e else n) for (k, e), n in ends.items()]
-            rows += [("h", k, n if e else 0, 0 if e else n) for (k, e), n in heads.items()]
+            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+            for (script, place, state, context, end), n in ends.items():
+                for c in _suffixes(context):
+                    sums["c", f"{script}|{place}|{state}|{c}"][not end] += n
+            for (head, end), n in heads.items():
+                for k in range(1, len(head) + 1):
+                    sums["h", head[:k]][not end] += n
             ends.clear()
             heads.clear()
-            return pd.DataFrame(rows, columns=["what", "context", "yes", "no"])
+            return pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["what", "context", "yes", "no"])
 
         for pdf in batches:
             for text in pdf["text"]:
@@ -166,14 +183,15 @@ def final_contexts(documents: DataFrame, key: str = "doc_id", text: str = "text"
                 if not t or not any(map(str.isalpha, t)):
                     continue
                 whole, t = t.rstrip(), without_torn_end(t)
-                units = _units(t, evidence)
+                before, paragraph = _last_paragraph(t)
+                units = _units(paragraph, evidence)
                 if not units:
                     continue
-                unit, place = units[-1], "first" if len(units) == 1 else "later"
+                unit, place = units[-1], "later" if before or len(units) > 1 else "first"
                 script = script_of(unit)
                 headline = place == "first" and len(t) == len(whole) and len(unit) < (HEADLINE_WIDE if script in WIDE_SCRIPTS else HEADLINE)
                 prefix = f"{script}|{place}|{_state(unit)}|"
-                out.append((k, script, place, headline, _heads(unit), [prefix + c for c in _contexts(unit)]))
+                out.append((k, script, place, headline, _heads(unit), [prefix + c for c in _suffixes(_context(unit))]))
             yield pd.DataFrame(out, columns=[key, "script", "place", "headline", "heads", "contexts"])
 
     kind = documents.schema[key].dataType.simpleString()
