@@ -158,10 +158,10 @@ def padded(array: Column | str, width: int, fill) -> Column:
     return F.concat(a, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(width) - F.size(a))))
 
 
-def topic_of(url: Column | str, topics: Mapping[str, str] = TOPICS) -> Column:
-    """Topic named by the fifth part of an address; unknown ones give null."""
+def topic_of(url: Column | str, topics: Mapping[str, str] = TOPICS, part: int = 4) -> Column:
+    """Topic named by a part of an address (the fifth by default); unknown ones give null."""
     table = F.create_map(*[F.lit(v) for kv in topics.items() for v in kv])
-    return F.try_element_at(table, F.get(F.split(url, "/"), F.lit(4)))
+    return F.try_element_at(table, F.get(F.split(url, "/"), F.lit(part)))
 
 
 def overlay(left: Column | str, right: Column | str) -> Column:

@@ -5,35 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from newsloom.plans.runtime import table
+from newsloom.plans import entity_queries, event_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of two or more characters with their frequency, the fifty most frequent."""
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return (
-        table(spark, d, "documents")
-        .select(F.explode(tokens).alias("term"))
-        .where(F.length("term") >= 2)
-        .groupBy("term")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "term")
-        .limit(50)
-    )
+_PARTS = (text_queries, entity_queries, event_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {"term_frequency": term_frequency}
+    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "term_frequency": r"""
-            select term, count(*) as n
-            from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents)
-            where length(term) >= 2 group by term order by n desc, term limit 50""",
-    }
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}
