@@ -164,6 +164,12 @@ def topic_of(url: Column | str, topics: Mapping[str, str] = TOPICS, part: int =
     return F.try_element_at(table, F.get(F.split(url, "/"), F.lit(part)))
 
 
+def round_places(x: Column, places: int) -> Column:
+    """Rounded half away from nought after scaling, as binary arithmetic does it (0.575 gives 0.57: the double is below it)."""
+    scale = float(10**places)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def overlay(left: Column | str, right: Column | str) -> Column:
     """Two maps merged, the right one wins."""
     l, r = _c(left), _c(right)

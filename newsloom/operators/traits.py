@@ -22,10 +22,10 @@ def lexicon_counts(pages: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame
 def trait_features(counts: DataFrame, means: dict[str, float]) -> DataFrame:
     """id, category, ratio, feature: category+ where the ratio of counts to words, rounded, is above the mean, else category-.
 
-    Pages without words have no features. Rounding is half up.
+    Pages without words have no features. Rounding is that of binary arithmetic.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("n"), F.lit(m).alias("mean")) for c, m in means.items()])).alias("x")
-    ratio = F.round(F.col("x.n") / F.col("words"), 2)
+    ratio = T.round_places(F.col("x.n") / F.col("words"), 2)
     rows = counts.where("words > 0").select("id", "words", pairs)
     return rows.select("id", "x.category", ratio.alias("ratio"), F.concat(F.col("x.category"), F.when(ratio > F.col("x.mean"), "+").otherwise("-")).alias("feature"))
 
@@ -40,7 +40,7 @@ def weighted_mean(features: DataFrame, hidden: DataFrame) -> DataFrame:
 def trait_scores(values: DataFrame, weights: DataFrame, bias: DataFrame) -> DataFrame:
     """id, trait, score rounded to two places: a linear layer with given weights (trait, dim, w) and bias (trait, b)."""
     made = values.join(weights, "dim").groupBy("id", "trait").agg(F.sum(F.col("value") * F.col("w")).alias("_s"))
-    return made.join(bias, "trait").select("id", "trait", F.round(F.col("_s") + F.col("b"), 2).alias("score"))
+    return made.join(bias, "trait").select("id", "trait", T.round_places(F.col("_s") + F.col("b"), 2).alias("score"))
 
 
 def attention_layer(h: np.ndarray, adjacency: np.ndarray, w: np.ndarray, a_src: np.ndarray, a_dst: np.ndarray, slope: float = 0.2) -> np.ndarray:
