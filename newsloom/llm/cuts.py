@@ -41,7 +41,7 @@ HEADLINE_WIDE, HEADLINE = 45, 100
 WIDE_SCRIPTS = ("zh", "ja")
 
 _TORN = re.compile(
-    r"(?:\s|…|\.{2,}|�|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\)|（\s*(?:…+|\.{2,})\s*）|</?[A-Za-z]{0,10}[^<>]{0,20}$|&[A-Za-z#0-9]{1,8};?$)+$"
+    r"(?:\s|\\|…|\.{2,}|�|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\)|（\s*(?:…+|\.{2,})\s*）|</?[A-Za-z]{0,10}[^<>]{0,20}$|&[A-Za-z#0-9]{1,8};?$)+$"
 )
 _DIGITS = re.compile(r"\d+")
 _SCRIPTS = (("th", re.compile("[ก-๛]")), ("hi", re.compile("[ऀ-ॿ]")), ("ja", re.compile("[ぁ-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
