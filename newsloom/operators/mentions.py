@@ -73,18 +73,23 @@ def name_like(mentions: DataFrame) -> DataFrame:
     mention of the article (by sidx, start) with three characters or more begins with it. Null and empty forms go.
     """
     n = F.length("form")
-    first = F.substring("form", 1, 1)
-    earlier = Window.partitionBy("aid").orderBy("sidx", "start", "eidx").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = F.collect_set(F.when(n >= 3, first)).over(earlier)
+    place = F.struct("sidx", "start", "eidx")
+    firsts = (
+        mentions.where(n >= 3)
+        .groupBy("aid", F.substring("form", 1, 1).alias("_c"))
+        .agg(F.min(place).alias("_first"))
+        .select("aid", F.col("_c").alias("form"), "_first")
+    )
     two = (n == 2) & ~T.is_ascii_word("form") & ~F.substring("form", 2, 1).isin(*NO_NAME_ENDS)
-    marked = mentions.withColumn("_keep", (n >= 3) | two | ((n == 1) & F.array_contains(firsts, F.col("form"))))
-    return marked.where("_keep").drop("_keep")
+    known = mentions.where(n == 1).join(firsts, ["aid", "form"]).where(F.col("_first") < place).select(*mentions.columns)
+    return mentions.where((n >= 3) | two).unionByName(known)
 
 
 def earlier_full_form(mentions: DataFrame) -> DataFrame:
     """aid, sidx, eidx, form, full: the first earlier form of the article, longer than the mention's and of its type, that contains it.
 
-    The article's forms are numbered once each by first occurrence; matching is an equi-join on (aid, type) within one article.
+    Each distinct form of an article offers its parts as keys, every key keeps the form that came first, and mentions meet them by an
+    equi-join: the cost is linear in the mentions however many of them one article holds.
     """
     known = (
         mentions.where("length(form) > 1")
@@ -92,8 +97,13 @@ def earlier_full_form(mentions: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("sidx", "eidx")).alias("first"))
         .select("aid", "type", F.col("form").alias("full"), "first")
     )
-    met = mentions.join(known, ["aid", "type"]).where("length(full) > length(form) and contains(full, form) and first < struct(sidx, eidx)")
-    return met.groupBy("aid", "sidx", "eidx", "form").agg(F.min_by("full", F.struct("first", "full")).alias("full"))
+    size = F.length("full")
+    starts = F.sequence(F.lit(1), size)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substring(F.col("full"), i, k))))
+    offered = known.select("aid", "type", "full", "first", F.explode(F.array_distinct(parts)).alias("form")).where("length(form) < length(full)")
+    best = offered.groupBy("aid", "type", "form").agg(F.min(F.struct("first", "full")).alias("x"))
+    met = mentions.join(best, ["aid", "type", "form"]).where(F.col("x.first") < F.struct("sidx", "eidx"))
+    return met.groupBy("aid", "sidx", "eidx", "form").agg(F.min("x").alias("x")).select("aid", "sidx", "eidx", "form", F.col("x.full").alias("full"))
 
 
 def linked_by_alias(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
