@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 CLUSTER_NOISE = r"[0-9a-zA-Z.， ,\-。%《*》/•、&＆(—)-@（+）：？!！“”·:」_\t\\\r\n]"
 SUMMARY_NOISE = r"[0-9a-zA-Z.， ,\-。%《*》/•、&＆(—)（+）：？!！“”·:]"
 NOT_HAN = r"[^一-龥]"
-# The literal characters that the older cleaning removes.
-OLD_NOISE = r"[\n\r\t 　。，、：；！？]"
+# The literals that the older cleaning removes, in this order (the second is the characters backslash and n).
+OLD_NOISE = ("。", "\\n", "」", "//", "_", "-", "\r", "\n", "\t", "@", "\\\\", "''")
+# The address that stands before an item's identifier.
+ITEM_ADDRESS = "http://www.wikidata.org/entity/"
 # Names of escaped brackets and what they stand for.
 BRACKETS = {"-lrb-": "(", "-rrb-": ")", "-lcb-": "{", "-rcb-": "}", "-lsb-": "[", "-rsb-": "]", "``": '"', "''": '"'}
 # Labels of the tag numbers of sequence tagging.
@@ -44,7 +46,11 @@ def han_only(x: Column | str) -> Column:
 
 
 def clean_old(x: Column | str) -> Column:
-    return F.regexp_replace(x, OLD_NOISE, "")
+    """Blanks at the ends and the literals of OLD_NOISE removed one after the other."""
+    out = F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+    for literal in OLD_NOISE:
+        out = F.replace(out, F.lit(literal), F.lit(""))
+    return out
 
 
 def unescape_brackets(x: Column | str) -> Column:
@@ -100,9 +106,9 @@ def after_last(x: Column | str, mark: str = ":") -> Column:
     return F.substring_index(x, mark, -1)
 
 
-def wiki_name(x: Column | str) -> Column:
-    """Name at the end of an encyclopaedia address, without a number in brackets behind it."""
-    return F.regexp_replace(F.regexp_replace(x, r"^https?://[^/]+/wiki/", ""), r"\[\d+\]", "")
+def wiki_name(x: Column | str, address: str = ITEM_ADDRESS) -> Column:
+    """Identifier at the end of an item's address, without a number in brackets behind it."""
+    return F.regexp_replace(F.replace(_c(x), F.lit(address), F.lit("")), r"\[\d+\]", "")
 
 
 def without_blanks(x: Column | str) -> Column:

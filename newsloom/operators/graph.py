@@ -17,6 +17,7 @@ NODE_TYPES = ("PER", "ORG", "LOC", "REG", "OTH")
 PERSON_CLASSES = ("Q5", "Q4164871")
 REGION_CLASSES = ("Q6256", "Q3624078")
 AMBIGUOUS_CLASS = "Q4167410"
+PLACE_CLASSES = ("Q5284036", "Q82794", "Q515", "Q486972", "Q23442", "Q1496967", "Q5107", "Q2418896", "Q705296", "Q3622002", "Q35657")
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -69,7 +70,7 @@ def mint_ids(rows: DataFrame, existing: DataFrame, order: Sequence[str], key: st
     return rows.where(F.col(key).isNotNull()).unionByName(minted.drop("_n", "_top"))
 
 
-def entity_type(classes: Column | str, places: Sequence[str] = ()) -> Column:
+def entity_type(classes: Column | str, places: Sequence[str] = PLACE_CLASSES) -> Column:
     """Type by the classes an item is an instance of: person, region, place; ambiguous or none gives null, others are bodies."""
     c = F.col(classes) if isinstance(classes, str) else classes
     has = lambda values: F.arrays_overlap(c, F.array(*map(F.lit, values))) if values else F.lit(False)

@@ -101,7 +101,7 @@ def small_texts(s, d):
     e = table(s, d, "entities").where("name is not null")
     stored = F.concat(F.lit("properties:"), F.replace(F.col("name"), F.lit(" "), F.lit("%20")))
     return e.select(
-        "eid", T.spaces_back(T.after_last(stored)).alias("name"), T.wiki_name(F.concat(F.lit("https://zh.wiki.example/wiki/"), "name", F.lit("[12]"))).alias("wiki"),
+        "eid", T.spaces_back(T.after_last(stored)).alias("name"), T.wiki_name(F.concat(F.lit(T.ITEM_ADDRESS), "name", F.lit("[12]"))).alias("wiki"),
         T.without_blanks(F.replace(F.col("name"), F.lit(" "), F.lit("  "))).alias("solid"), T.whole_words(F.concat(F.lit("un ##"), "eid", F.lit("  x"))).alias("words"),
         T.question("name", "eid").alias("asked"), T.is_ascii_word("name").alias("ascii"),
     ).distinct()
@@ -215,7 +215,8 @@ SQL = {
         from articles where content is not null""",
     "clean_cluster": rf"select doc_id, length(c)::int as n, md5(c) as digest from (select doc_id, regexp_replace(text, '{T.CLUSTER_NOISE}', '', 'g') as c from documents)",
     "clean_summary": rf"select doc_id, length(c)::int as n, md5(c) as digest from (select doc_id, regexp_replace(text, '{T.SUMMARY_NOISE}', '', 'g') as c from documents)",
-    "clean_old": rf"select doc_id, length(regexp_replace(text, '{T.OLD_NOISE}', '', 'g'))::int as n from documents",
+    "clean_old": r"""select doc_id, length(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
+        '。', ''), '\n', ''), '」', ''), '//', ''), '_', ''), '-', ''), chr(13), ''), chr(10), ''), chr(9), ''), '@', ''), '\\', ''), , ''))::int as n from documents""",
     "han_only": "select doc_id, length(regexp_replace(text, '[^一-龥]', '', 'g'))::int as n from documents",
     "brackets": """select doc_id, md5(replace(replace(replace(replace(replace(replace(text, '-lrb-', '('), '-rrb-', ')'), '-lcb-', '{'), '-rcb-', '}'), '``', '"'), '''''', '"')) as digest
         from documents""",

@@ -54,3 +54,12 @@ def test_alignment(spark):
 def test_overlay_right_wins(spark):
     df = spark.range(1).select(T.overlay(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(1)), F.create_map(F.lit("b"), F.lit(2))).alias("m"))
     assert df.first().m == {"a": 1, "b": 2}
+
+
+def test_old_cleaning_and_item_names(spark):
+    text = "  a。b\\n」c//d_e-f@g\\\\h''i\n"
+    want = text.strip()
+    for literal in T.OLD_NOISE:
+        want = want.replace(literal, "")
+    assert one(spark, text, T.clean_old) == want
+    assert one(spark, T.ITEM_ADDRESS + "Q5[3]", T.wiki_name) == "Q5"
