@@ -216,7 +216,7 @@ SQL = {
     "clean_cluster": rf"select doc_id, length(c)::int as n, md5(c) as digest from (select doc_id, regexp_replace(text, '{T.CLUSTER_NOISE}', '', 'g') as c from documents)",
     "clean_summary": rf"select doc_id, length(c)::int as n, md5(c) as digest from (select doc_id, regexp_replace(text, '{T.SUMMARY_NOISE}', '', 'g') as c from documents)",
     "clean_old": r"""select doc_id, length(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
-        '。', ''), '\n', ''), '」', ''), '//', ''), '_', ''), '-', ''), chr(13), ''), chr(10), ''), chr(9), ''), '@', ''), '\\', ''), , ''))::int as n from documents""",
+        '。', ''), '\n', ''), '」', ''), '//', ''), '_', ''), '-', ''), chr(13), ''), chr(10), ''), chr(9), ''), '@', ''), '\\', ''), '''''', ''))::int as n from documents""",
     "han_only": "select doc_id, length(regexp_replace(text, '[^一-龥]', '', 'g'))::int as n from documents",
     "brackets": """select doc_id, md5(replace(replace(replace(replace(replace(replace(text, '-lrb-', '('), '-rrb-', ')'), '-lcb-', '{'), '-rcb-', '}'), '``', '"'), '''''', '"')) as digest
         from documents""",
