@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.sentences import _OPENS, _PARAGRAPH, BRACKETS, Evidence, _quote_pairs, sentence_spans
+from newsloom.llm.sentences import _PARAGRAPH, BRACKETS, Evidence, _quote_pairs, sentence_spans
 from newsloom.plans.runtime import cut, spread
 
 ORDER = 5
@@ -44,7 +44,10 @@ _TORN = re.compile(
     r"(?:\s|\\|…|\.{2,}|�|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\)|（\s*(?:…+|\.{2,})\s*）|</?[A-Za-z]{0,10}[^<>]{0,20}$|&[A-Za-z#0-9]{1,8};?$)+$"
 )
 _DIGITS = re.compile(r"\d+")
-_SCRIPTS = (("th", re.compile("[ก-๛]")), ("hi", re.compile("[ऀ-ॿ]")), ("ja", re.compile("[ぁ-ヿ]")), ("zh", re.compile("[㐀-鿿]")))
+_SCRIPTS = (("th", re.compile("[ก-๛]+")), ("hi", re.compile("[ऀ-ॿ]+")), ("ja", re.compile("[ぁ-ヿ]+")))
+_OTHER_SCRIPTS = re.compile("[ก-๛ऀ-ॿぁ-ヿ]")
+_HAN = re.compile("[㐀-鿿]+")
+_STATE_OPENS = re.compile(r"[「『“„«（(《\"]")
 
 
 def script_of(text: str) -> str:
@@ -52,10 +55,12 @@ def script_of(text: str) -> str:
     if text.isascii():
         return "la"
     part = text[-600:] if len(text) > 600 else text
-    for name, pattern in _SCRIPTS:
-        if pattern.search(part) and len(pattern.findall(part)) * 10 >= len(part):
-            return name
-    return "la"
+    share = lambda pattern: sum(map(len, pattern.findall(part))) * 10 >= len(part)
+    if _OTHER_SCRIPTS.search(part):
+        for name, pattern in _SCRIPTS:
+            if share(pattern):
+                return name
+    return "zh" if share(_HAN) else "la"
 
 
 def without_torn_end(text: str) -> str:
@@ -68,19 +73,17 @@ def without_torn_end(text: str) -> str:
         text = text[: len(text) - len(tail)] + kept
 
 
-def _state(unit: str) -> str:
-    """o: a quote or bracket is open; q: the unit is one quotation; else n."""
-    if not _OPENS.search(unit):
-        return "n"
+def _states(unit: str, at: int) -> tuple[str, str]:
+    """States of a unit and of its part before ``at``: o: a quote or bracket is open; q: it is one quotation; else n."""
+    if not _STATE_OPENS.search(unit):
+        return "n", "n"
     pairs = _quote_pairs(unit)
-    opened = sum(unit.count(c) for c in "「『“„«（(《")
-    closed_by_open = sum(1 for p in pairs if unit[p] in "「『“„«（(《")
-    german = unit.count("„") and sum(1 for p, c in pairs.items() if unit[p] == "„" and unit[c] == "“")
-    if opened - closed_by_open - german > 0 or unit.count('"') % 2:
-        return "o"
-    if unit[0] not in BRACKETS and pairs.get(0) == len(unit) - 1:
-        return "q"
-    return "n"
+    closing = set(pairs.values())
+    opened = [m.start() for m in _STATE_OPENS.finditer(unit) if m.start() not in closing]
+    quoted = pairs.get(0, -1) if unit[0] not in BRACKETS else -1
+    whole = "o" if any(p not in pairs for p in opened) else "q" if quoted == len(unit) - 1 else "n"
+    part = "o" if any(p < at <= pairs.get(p, len(unit)) for p in opened) else "q" if quoted == at - 1 else "n"
+    return whole, part
 
 
 def _context(unit: str) -> str:
@@ -121,12 +124,13 @@ def _counted(text: str, evidence: Evidence, ends: Counter, heads: Counter) -> No
         heads[_head(unit), i == last] += 1
         if i == last or len(unit) < 2:
             continue
-        place, script = "first" if i == 0 else "later", script_of(unit)
-        ends[script, place, _state(unit), _context(unit), True] += 1
+        script, place = script_of(unit), "first" if i == 0 else "later"
         at = 1 + zlib.crc32(unit.encode("utf-8", "surrogatepass")) % (len(unit) - 1)
         part = unit[:at].rstrip()
+        whole, half = _states(unit, len(part))
+        ends[script, place, whole, _context(unit), True] += 1
         if part:
-            ends[script, place, _state(part), _context(part), False] += 1
+            ends[script, place, half, _context(part), False] += 1
 
 
 def end_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +194,7 @@ def final_contexts(documents: DataFrame, key: str = "doc_id", text: str = "text"
                 unit, place = units[-1], "later" if before or len(units) > 1 else "first"
                 script = script_of(unit)
                 headline = place == "first" and len(t) == len(whole) and len(unit) < (HEADLINE_WIDE if script in WIDE_SCRIPTS else HEADLINE)
-                prefix = f"{script}|{place}|{_state(unit)}|"
+                prefix = f"{script}|{place}|{_states(unit, len(unit))[0]}|"
                 out.append((k, script, place, headline, _heads(unit), [prefix + c for c in _suffixes(_context(unit))]))
             yield pd.DataFrame(out, columns=[key, "script", "place", "headline", "heads", "contexts"])
 
