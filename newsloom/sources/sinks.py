@@ -41,3 +41,60 @@ def split_json(rows: DataFrame, path: str, key: str) -> None:
     test = hash_fifth(F.col(key).cast("string"))
     rows.where(~test).write.mode("overwrite").json(f"{path}/train")
     rows.where(test).write.mode("overwrite").json(f"{path}/test")
+
+
+class VersionedTable:
+    """A keyed Parquet table on a shared folder with upserts: every change writes a new version and then names it the current one.
+
+    A reader keeps the version it opened. The batch number of a stream is the version's name, so a repeated batch changes nothing.
+    """
+
+    def __init__(self, spark, path: str, key: str, order: str):
+        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _there(self, name: str) -> bool:
+        jvm, fs = self._fs()
+        return fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+
+    def versions(self) -> list[int]:
+        """Numbers of the finished versions."""
+        jvm, fs = self._fs()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._there(f"{n}/_SUCCESS"))
+
+    def read(self) -> DataFrame | None:
+        """The current version; None before the first one."""
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
+
+    def upsert(self, rows: DataFrame, version: int | None = None) -> None:
+        """The latest row of each key of the current version and ``rows`` as a new version; a version that is there is left alone."""
+        from newsloom.operators.graph import upsert_latest
+
+        found = self.versions()
+        number = version if version is not None else (found[-1] + 1 if found else 0)
+        if number in found:
+            return
+        old = self.read()
+        new = upsert_latest(old if old is not None else rows.limit(0), rows, self.key, self.order)
+        new.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+
+    def batch(self, rows: DataFrame, batch_id: int) -> None:
+        """For ``writeStream.foreachBatch``."""
+        self.upsert(rows, batch_id)
+
+    def clear(self, sure: bool = False) -> None:
+        """An empty version; refuses without ``sure``."""
+        if not sure:
+            raise ValueError("clear() empties the table; call it with sure=True")
+        now = self.read()
+        if now is not None:
+            now.limit(0).write.mode("overwrite").parquet(f"{self.path}/v={self.versions()[-1] + 1}")

@@ -79,3 +79,25 @@ def test_sinks(spark, tmp_path):
 def test_core_stands_without_the_llm_subpackage():
     code = "import sys; sys.modules['newsloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k[0] == 'p' and k[1:2].isdigit()]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_versioned_table(spark, tmp_path):
+    t = sinks.VersionedTable(spark, str(tmp_path / "t"), "k", "at")
+    assert t.read() is None
+    make = lambda rows: spark.createDataFrame(rows, "k string, at int, v string")
+    t.upsert(make([("a", 1, "x"), ("b", 1, "y")]))
+    t.upsert(make([("a", 2, "z"), ("c", 1, None), ("b", 0, "old")]))
+    assert {tuple(r) for r in t.read().select("k", "at", "v").collect()} == {("a", 2, "z"), ("b", 1, "y"), ("c", 1, None)}
+    t.batch(make([("a", 9, "again")]), 1)
+    assert t.versions() == [0, 1] and t.read().where("v = 'again'").count() == 0
+    make([("d", 1, "s")]).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("k string, at int, v string").parquet(str(tmp_path / "in"))
+    u = sinks.VersionedTable(spark, str(tmp_path / "u"), "k", "at")
+    s.writeStream.foreachBatch(u.batch).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert u.read().count() == 1
+    try:
+        u.clear()
+        raise AssertionError
+    except ValueError:
+        u.clear(sure=True)
+    assert u.read().count() == 0
