@@ -66,5 +66,10 @@ def test_groups_equal_brute_force(spark):
     want = {(keys[a], keys[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] == root[b]}
     df = spark.createDataFrame([(k, v, 1) for k, v in rows], "key string, value string, token int")
     assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want and ("s1", "s2") in want
+    kept, nd.MANY_LINKS = nd.MANY_LINKS, 0
+    try:
+        assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want
+    finally:
+        nd.MANY_LINKS = kept
     assert nd.grouped_pairs(df.limit(0)).count() == 0
     assert len(nd.combination_keys(np.array([5], np.int64), 5, 100)) == 100
