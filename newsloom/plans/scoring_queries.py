@@ -135,6 +135,10 @@ SQL = {
         r as (select id, unnest(regexp_extract_all(t, '\p{Han}+|\P{Han}+')) as r from t),
         w as (select unnest(case when length(r) >= 2 and regexp_full_match(r, '\p{Han}+') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end) as word from r)
         select word, count(*) as n from w group by word having count(*) > 1""",
+    "content_words": """with x as (select aid, sidx, unnest(min((sentence, tags))) from tag_sequences where sentence is not null and tags is not null group by aid, sidx),
+        y as (select * from x y(aid, sidx, sentence, tags)), c as (select aid, sidx, tags, unnest(string_split(sentence, '')) as w, generate_subscripts(string_split(sentence, ''), 1) as i from y),
+        l as (select aid, sidx, w, list(tags[i] order by i)[-1] as g from c group by aid, sidx, w), n as (select aid, sidx, count(*)::int as n from l where g > 0 and w <> ' ' group by aid, sidx)
+        select y.aid, y.sidx, coalesce(n.n, 0)::int as n from y left join n on y.aid = n.aid and y.sidx = n.sidx""",
     "stop_words": f"""with t as {_TOKENS}, s as (select list(word) as s from (select word from (select unnest(words) as word from t) group by word order by count(*) desc, word limit 200))
         select doc_id, len(list_filter(words, lambda w: not list_contains(s, w)))::int as n from t, s""",
     "cluster_candidates": """with a as (select id, theme, unnest(keywords) as term from articles where theme is not null)
