@@ -47,6 +47,8 @@ def test_sentence_units_and_evidence(spark):
     df = spark.createDataFrame(rows, "field string, rec_key string, text string, whole boolean")
     assert {tuple(r) for r in sentences.sentence_units(df).collect()} == {("content", "k", 0, 3), ("content", "k", 4, 7), ("sentence", "t/0", 0, 7)}
     assert sentences.sentence_units(df.limit(0)).count() == 0
+    blank = spark.createDataFrame([("content", "k", "  ", False)], df.schema)
+    assert sentences.sentence_units(blank).count() == 0
     many = spark.createDataFrame([(f"He met Xqz. Bo and left. It was number {i}.",) for i in range(40)], "text string")
     assert "xqz" in sentences.corpus_evidence(many).never
     long = "Wort und " * 50_000 + "Ende. Neu."
@@ -119,6 +121,8 @@ def test_page_bodies(spark):
     finally:
         page_bodies.BROADCAST_TEMPLATES = kept
     assert page_bodies.page_bodies(df.limit(0)).count() == 0
+    blank = spark.createDataFrame([("x", None, None, " ", "h")], "page_id string, url string, source string, content string, host string")
+    assert page_bodies.page_bodies(blank).count() == 0
 
 
 def test_cuts(spark):
