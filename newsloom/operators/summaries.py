@@ -48,11 +48,15 @@ def _grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 
 
 def choose(rows: list[tuple[int, str, list[str], float]], most: int = PER_SUMMARY) -> list[str]:
-    """Sentences by score: the first, then those that share no 7-gram but a 2-gram with the chosen ones, up to ``most``."""
+    """Sentences by score: the first, then those that share no 7-gram but a 2-gram with the chosen ones, up to ``most``.
+
+    Sentences without a score come last, those without a place after the others of their score; without text they are left out.
+    """
+    rows = [r for r in rows if r[1] is not None]
     chosen: list[str] = []
     twos: set = set()
     sevens: set = set()
-    for _, sentence, words, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+    for _, sentence, words, _ in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0.0), r[0] is None, r[0] or 0)):
         two, seven = _grams(words, 2), _grams(words, 7)
         if not chosen or (not (seven & sevens) and two & twos):
             chosen.append(sentence)
@@ -71,7 +75,7 @@ def summaries(scored: DataFrame, most: int = PER_SUMMARY) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(e, "".join(choose([(r["pos"], r["sentence"], list(r["words"]), r["score"]) for r in rows], most))) for e, rows in zip(pdf["event_id"], pdf["rows"])]
+            out = [(e, "".join(choose([(r["pos"], r["sentence"], list(r["words"] if r["words"] is not None else ()), r["score"]) for r in rows], most))) for e, rows in zip(pdf["event_id"], pdf["rows"])]
             yield pd.DataFrame(out, columns=["event_id", "abstract"])
 
     kind = scored.schema["event_id"].dataType.simpleString()

@@ -78,33 +78,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     """query, key, cosine, rank: the k nearest rows of each query vector, exactly, over all rows.
 
     Queries go to the workers in blocks of at most ``block``; each partition keeps its own k best of each query before the shuffle.
+    Null vectors, and vectors with nulls, take no part; only vectors of one length are compared.
     """
     spark = vectors.sparkSession
     total = queries.count()
     parts = max(1, -(-total // block))
     out = None
+    queries = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()))
+    vectors = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
     marked = queries.select(key, vector, F.pmod(F.xxhash64(key), F.lit(parts)).alias("_b")).persist()
     for b in range(parts):
         rows = marked.where(F.col("_b") == b).orderBy(key).select(key, vector).toPandas()
         if not len(rows):
             continue
-        q = np.array([np.asarray(v, np.float64) for v in rows[vector]])
-        sent = spark.sparkContext.broadcast((rows[key].tolist(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+        by_size: dict[int, tuple[list, np.ndarray]] = {}
+        for size, part in rows.groupby(rows[vector].map(len)):
+            q = np.array([np.asarray(v, np.float64) for v in part[vector]])
+            by_size[int(size)] = (part[key].tolist(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
+        sent = spark.sparkContext.broadcast(by_size)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
             best: dict = defaultdict(list)
             for pdf in batches:
-                pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == q.shape[1])]
-                if not len(pdf):
-                    continue
-                m = np.array([np.asarray(v, np.float64) for v in pdf[vector]])
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                c, keys = q @ m.T, pdf[key].to_numpy()
-                for i, name in enumerate(ids):
-                    order = np.lexsort((keys, -c[i]))[: k + 1]
-                    best[name] += [(c[i, j], keys[j]) for j in order if keys[j] != name]
-                    best[name] = sorted(best[name], key=lambda x: (-x[0], x[1]))[:k]
+                pdf = pdf[pdf[vector].notna()]
+                for size, part in pdf.groupby(pdf[vector].map(len)):
+                    if size not in sent.value:
+                        continue
+                    ids, q = sent.value[size]
+                    m = np.array([np.asarray(v, np.float64) for v in part[vector]])
+                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                    c, keys = q @ m.T, part[key].to_numpy()
+                    for i, name in enumerate(ids):
+                        order = np.lexsort((keys, -c[i]))[: k + 1]
+                        best[name] += [(c[i, j], keys[j]) for j in order if keys[j] != name]
+                        best[name] = sorted(best[name], key=lambda x: (-x[0], x[1]))[:k]
             yield pd.DataFrame([(name, y, float(x)) for name, found in best.items() for x, y in found], columns=["query", key, "cosine"])
 
         kind = vectors.schema[key].dataType.simpleString()
@@ -157,7 +164,8 @@ def single_pass(docs: DataFrame, key: str, order: str, theta: float = 0.1, block
     """block, key, cluster: documents with ``terms`` (map term -> weight) clustered in the order of (order, key).
 
     The result depends on the order, so one block is one task: ``block`` names a column (a day, a theme) that divides the work and
-    keeps each task bounded; without it the whole input is one block, which is exact and does not scale.
+    keeps each task bounded; without it the whole input is one block, which is exact and does not scale. A document without terms
+    is a cluster of its own.
     """
     from newsloom.operators.vectors import SinglePass as State
 
@@ -167,7 +175,7 @@ def single_pass(docs: DataFrame, key: str, order: str, theta: float = 0.1, block
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         state = State(theta)
         pdf = pdf.sort_values([order, key], kind="stable")
-        clusters = [state.add({e["key"]: e["value"] for e in t}) for t in pdf["terms"]]
+        clusters = [state.add({e["key"]: e["value"] for e in (t if t is not None else ())}) for t in pdf["terms"]]
         return pd.DataFrame({"block": pdf["block"], key: pdf[key], "cluster": clusters})
 
     return rows.groupBy("block").applyInPandas(run, f"block string, {key} {kind}, cluster int")
