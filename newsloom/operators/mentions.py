@@ -88,8 +88,8 @@ def name_like(mentions: DataFrame) -> DataFrame:
 def earlier_full_form(mentions: DataFrame) -> DataFrame:
     """aid, sidx, eidx, form, full: the first earlier form of the article, longer than the mention's and of its type, that contains it.
 
-    Each distinct form of an article offers its parts as keys, every key keeps the form that came first, and mentions meet them by an
-    equi-join: the cost is linear in the mentions however many of them one article holds.
+    Each distinct form of an article offers its single characters and pairs of neighbours as keys, and distinct forms meet them by the
+    characters they begin with: an equi-join whose pairs share an article, a type and a beginning, however many mentions one article holds.
     """
     known = (
         mentions.where("length(form) > 1")
@@ -97,11 +97,11 @@ def earlier_full_form(mentions: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("sidx", "eidx")).alias("first"))
         .select("aid", "type", F.col("form").alias("full"), "first")
     )
-    size = F.length("full")
-    starts = F.sequence(F.lit(1), size)
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substring(F.col("full"), i, k))))
-    offered = known.select("aid", "type", "full", "first", F.explode(F.array_distinct(parts)).alias("form")).where("length(form) < length(full)")
-    best = offered.groupBy("aid", "type", "form").agg(F.min(F.struct("first", "full")).alias("x"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("full") - n + 1), lambda i: F.substring(F.col("full"), i, F.lit(n)))
+    offered = known.select("aid", "type", "full", "first", F.explode(F.array_distinct(F.concat(grams(1), grams(2)))).alias("_k"))
+    short = mentions.where("form <> ''").select("aid", "type", "form").distinct().withColumn("_k", F.substring("form", 1, 2))
+    inside = short.join(offered, ["aid", "type", "_k"]).where("length(full) > length(form) and contains(full, form)")
+    best = inside.groupBy("aid", "type", "form").agg(F.min(F.struct("first", "full")).alias("x"))
     met = mentions.join(best, ["aid", "type", "form"]).where(F.col("x.first") < F.struct("sidx", "eidx"))
     return met.groupBy("aid", "sidx", "eidx", "form").agg(F.min("x").alias("x")).select("aid", "sidx", "eidx", "form", F.col("x.full").alias("full"))
 
