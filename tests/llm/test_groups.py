@@ -73,3 +73,21 @@ def test_groups_equal_brute_force(spark):
         nd.MANY_LINKS = kept
     assert nd.grouped_pairs(df.limit(0)).count() == 0
     assert len(nd.combination_keys(np.array([5], np.int64), 5, 100)) == 100
+
+
+def test_groups_of_texts_with_a_common_boilerplate(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(n))
+    common = word(76)
+    rows = []
+    for i in range(150):
+        shared = word(7)
+        rows += [(f"{i:03d}{j}", shared + common + word(22), 1) for j in (0, 1)]
+        rows += [(f"{i:03d}s", common + word(30), 1)]
+    sets = {k: set(nd.pieces(nd.squeezed(v)).tolist()) for k, v, _ in rows}
+    keys = sorted(sets)
+    edges = [(x, y) for x in range(len(keys)) for y in range(x) if len(sets[keys[x]] & sets[keys[y]]) >= 0.6 * len(sets[keys[x]] | sets[keys[y]])]
+    root = roots(len(keys), edges)
+    want = {(keys[a], keys[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] == root[b]}
+    df = spark.createDataFrame(rows, "key string, value string, token int")
+    assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want and len(want) == 150
