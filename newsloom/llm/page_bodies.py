@@ -152,7 +152,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
     ``top`` (of kind h): the host has its lists before its articles.
     """
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = cut(block_counts(pages).join(sizes, "host").where("n > 1 or pages < 20"))
+    counts = cut(block_counts(pages).join(sizes, "host"))
     pooled = (
         counts.groupBy("kind", "key")
         .agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "beside", "follow", "before", "ended", "pages")], F.count("*").alias("hosts"))

@@ -125,6 +125,18 @@ def test_page_bodies(spark):
     assert page_bodies.page_bodies(blank).count() == 0
 
 
+def test_a_message_seen_once_on_a_large_host(spark):
+    message = "The page you asked for could not be found."
+    pages = []
+    for h in range(10):
+        rows = [(site(i).replace("sitealpha", f"sitebeta{h}")) for i in range(25 if h == 0 else 12)]
+        rows += [f"Home\tNews\tSport\n{message}"]
+        pages += [(100 * h + i, f"https://sitebeta{h}.example/a/{i}", "s", x, "h") for i, x in enumerate(rows)]
+    df = spark.createDataFrame(pages, "page_id long, url string, source string, content string, host string")
+    got = {(r.page_id, r.line_no) for r in page_bodies.page_bodies(df).collect()}
+    assert not {p for p, _ in got} & {25, *(100 * h + 12 for h in range(1, 10))}
+
+
 def test_cuts(spark):
     rng = random.Random(4)
     names = ["Ada", "Bo", "Cy", "Dee", "Eli"]
