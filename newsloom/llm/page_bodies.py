@@ -212,6 +212,20 @@ def _is_furniture(line: str, masked: str, known: Templates, words: set[int]) ->
     return False
 
 
+def _word_keys(content: str, host: str) -> set[int]:
+    """Hashes of all parts and token runs of a page's lines that ``_is_furniture`` looks up among the words."""
+    site, keys = _site(host), set()
+    for line in filter(None, _split(content)):
+        masked = _masked(line, site)
+        parts = [x for x in _SEPARATORS.split(masked) if x]
+        if len(parts) > 1:
+            keys.update(map(_hash, parts))
+        tokens = masked.split(" ")
+        if 1 < len(tokens) <= 24 and not ended(line):
+            keys.update(_hash(" ".join(tokens[i:j])) for j in range(1, len(tokens) + 1) for i in range(max(0, j - 6), j))
+    return keys
+
+
 # Log-likelihoods of a line without end mark (n), of one sentence (s) and of a longer paragraph (p) in a list and in an article.
 _IN_LIST = {"n": math.log(0.8), "s": math.log(0.19), "p": math.log(0.01)}
 _IN_ARTICLE = {"n": math.log(0.1), "s": math.log(0.4), "p": math.log(0.5)}
@@ -326,11 +340,23 @@ def page_bodies(rows: DataFrame) -> DataFrame:
 
     grouped = templates.where("host <> ''").groupBy("host").agg(F.collect_list(F.struct("kind", "key", "top")).alias("known"))
 
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(at, key) for at, host, content in zip(pdf["at"], pdf["host"], pdf["content"]) for key in _word_keys(content, host)]
+            yield pd.DataFrame(found, columns=["at", "key"]).astype("int64")
+
+    placed = pages.withColumn("at", F.xxhash64("page_id", "content"))
+    pooled = templates.where("kind = 'w'").select("key").distinct()
+    of_page = placed.mapInPandas(looked_up, "at long, key long").join(pooled, "key").groupBy("at").agg(F.collect_set("key").alias("words"))
+
     def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for host, part in pdf.groupby("host", sort=False):
+            frames = []
+            for _, part in pdf.groupby("host", sort=False):
                 entries = part["known"].iloc[0]
                 known = known_of([(e["kind"], e["key"], e["top"]) for e in entries] if entries is not None else ())
-                yield lines_of(part["page_id"], part["host"], part["content"], lambda _, k=known: (k, k.keys["b"]))
+                for page, host, content, words in zip(part["page_id"], part["host"], part["content"], part["words"]):
+                    frames += [(page, i) for i in article_lines(content, host, known, set(words) if words is not None else set())]
+            yield pd.DataFrame(frames, columns=["page_id", "line_no"])
 
-    return pages.join(grouped, "host", "left").mapInPandas(many, out).distinct()
+    return placed.join(grouped, "host", "left").join(of_page, "at", "left").drop("at").mapInPandas(many, out).distinct()

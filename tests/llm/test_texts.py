@@ -137,6 +137,20 @@ def test_a_message_seen_once_on_a_large_host(spark):
     assert not {p for p, _ in got} & {25, *(100 * h + 12 for h in range(1, 10))}
 
 
+def test_menu_words_of_other_hosts_in_both_paths(spark):
+    pages = [(i, f"https://sitealpha.example/a/{i}", "s", "Weather\nCulture\n" + site(i), "h") for i in range(40)]
+    body = "One plain sentence that stands alone here.\nAnother one that follows it on the page."
+    pages += [(100 + i, f"https://gamma{i}.example/", "s", f"Weather\tCulture\nWeather Culture\n{body}", "h") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, source string, content string, host string")
+    few = {(r.page_id, r.line_no) for r in page_bodies.page_bodies(df).collect()}
+    kept, page_bodies.BROADCAST_TEMPLATES = page_bodies.BROADCAST_TEMPLATES, 0
+    try:
+        assert {(r.page_id, r.line_no) for r in page_bodies.page_bodies(df).collect()} == few
+    finally:
+        page_bodies.BROADCAST_TEMPLATES = kept
+    assert {x for x in few if x[0] >= 100} == {(100 + i, n) for i in range(3) for n in (2, 3)}
+
+
 def test_cuts(spark):
     rng = random.Random(4)
     names = ["Ada", "Bo", "Cy", "Dee", "Eli"]
