@@ -1,10 +1,10 @@
 """Texts whose end was lost: cut inside a sentence by a field limit or a broken transfer.
 
 Method: a backward character n-gram model. Every sentence of the corpus (but the last of its text, whose fate is unknown) gives
-one true end and one simulated cut at a place chosen by its hash. Both are counted by the characters read backward from there,
+one true end and a simulated cut at each of its inner places, which together weigh as much as the end. Both are counted by the characters read backward from there,
 per script, place in the text (its first sentence or a later one) and state of quotes. The final context of each text is then
-looked up, the longest one that was seen often enough counts, and the log-odds of end against continuation decide by a
-threshold per script and place.
+looked up, the longest one that was seen often enough counts, and the log-odds of end against continuation decide by one
+threshold, 0 unless THRESHOLD names another for a script and place.
 
 Lines that stand only at the ends of texts (credits, tags, links, results) are learned from all texts by how they begin;
 a text that ends with one is complete. What stands behind the break (dots, replacement characters, torn markup) is set aside.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +28,8 @@ from newsloom.llm.sentences import _PARAGRAPH, BRACKETS, Evidence, _quote_pairs,
 from newsloom.plans.runtime import cut, spread
 
 ORDER = 5
+#: Weight of an end, and of all inner places of a sentence together, in whole numbers.
+WEIGHT = 1_000_000
 #: A context counts if it was seen at least this often, as an end or as a cut.
 SEEN = 4
 #: Texts whose log-odds of an end are below the threshold of their script and place are cut.
@@ -115,7 +116,31 @@ def _heads(unit: str) -> list[str]:
     return [head[:k] for k in range(1, len(head) + 1)]
 
 
-def _counted(text: str, evidence: Evidence, ends: Counter, heads: Counter) -> None:
+def _inner(unit: str) -> Iterator[tuple[str, str]]:
+    """State and context of the part before every inner place of a unit, blanks at its end left out."""
+    state = ["n"] * (len(unit) + 1)
+    if _STATE_OPENS.search(unit):
+        pairs = _quote_pairs(unit)
+        closing = set(pairs.values())
+        if unit[0] not in BRACKETS and pairs.get(0, -1) >= 0:
+            state[pairs[0] + 1] = "q"
+        for m in _STATE_OPENS.finditer(unit):
+            if (p := m.start()) not in closing:
+                stop = pairs.get(p, len(unit))
+                state[p + 1 : stop + 1] = "o" * (stop - p)
+    context, kept, last = "^", ("", ""), ""
+    for at in range(1, len(unit)):
+        c = unit[at - 1]
+        c = "9" if c.isdecimal() else c
+        if c != "9" or last != "9" or not unit[at - 2].isdecimal():
+            context = (context + c)[-ORDER:]
+        last = c
+        if not c.isspace():
+            kept = state[at], context
+        yield kept
+
+
+def _counted(text: str, evidence: Evidence, ends: Counter, cuts: dict, heads: Counter) -> None:
     units = _units(text, evidence)
     if len(units) < 2:
         return
@@ -125,12 +150,13 @@ def _counted(text: str, evidence: Evidence, ends: Counter, heads: Counter) -> No
         if i == last or len(unit) < 2:
             continue
         script, place = script_of(unit), "first" if i == 0 else "later"
-        at = 1 + zlib.crc32(unit.encode("utf-8", "surrogatepass")) % (len(unit) - 1)
-        part = unit[:at].rstrip()
-        whole, half = _states(unit, len(part))
-        ends[script, place, whole, _context(unit), True] += 1
-        if part:
-            ends[script, place, half, _context(part), False] += 1
+        ends[script, place, _states(unit, len(unit))[0], _context(unit)] += 1
+        weight = WEIGHT // (len(unit) - 1)
+        for state, context in _inner(unit):
+            if context:
+                c = cuts[script, place, state, context]
+                c[0] += weight
+                c[1] += 1
 
 
 def end_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,36 +165,45 @@ def end_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         evidence = Evidence()
         ends: Counter = Counter()
+        cuts: dict = defaultdict(lambda: [0, 0])
         heads: Counter = Counter()
 
         def out() -> pd.DataFrame:
-            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
-            for (script, place, state, context, end), n in ends.items():
+            sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+            for (script, place, state, context), n in ends.items():
                 for c in _suffixes(context):
-                    sums["c", f"{script}|{place}|{state}|{c}"][not end] += n
+                    x = sums["c", f"{script}|{place}|{state}|{c}"]
+                    x[0] += n * WEIGHT
+                    x[2] += n
+            for (script, place, state, context), (weight, n) in cuts.items():
+                for c in _suffixes(context):
+                    x = sums["c", f"{script}|{place}|{state}|{c}"]
+                    x[1] += weight
+                    x[2] += n
             for (head, end), n in heads.items():
                 for k in range(1, len(head) + 1):
                     sums["h", head[:k]][not end] += n
             ends.clear()
+            cuts.clear()
             heads.clear()
-            return pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["what", "context", "yes", "no"])
+            return pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["what", "context", "yes", "no", "seen"])
 
         for pdf in batches:
             for text in pdf["text"]:
                 if text:
-                    _counted(without_torn_end(text), evidence, ends, heads)
-            if len(ends) > 300_000:
-                yield out()
+                    _counted(without_torn_end(text), evidence, ends, cuts, heads)
+                if len(cuts) > 200_000:
+                    yield out()
         yield out()
 
     counts = cut(
         texts.select("text")
-        .mapInPandas(run, "what string, context string, yes long, no long")
+        .mapInPandas(run, "what string, context string, yes long, no long, seen long")
         .groupBy("what", "context")
-        .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-        .where((F.col("what") == "h") | (F.col("yes") + F.col("no") >= SEEN))
+        .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("seen").alias("seen"))
+        .where((F.col("what") == "h") | (F.col("seen") >= SEEN))
     )
-    contexts = counts.where("what = 'c'").select("context", F.col("yes").alias("ends"), F.col("no").alias("cuts"))
+    contexts = counts.where("what = 'c'").select("context", (F.col("yes") / WEIGHT).alias("ends"), (F.col("no") / WEIGHT).alias("cuts"))
     heads = counts.where("what = 'h'").select(F.col("context").alias("head"), F.col("yes").alias("at_end"), (F.col("yes") + F.col("no")).alias("n"))
     return contexts, heads
 

@@ -164,3 +164,12 @@ def test_cuts(spark):
     by = {r.source: (r.n, r.n_cut) for r in cuts.cuts_by_source(df).collect()}
     assert by[None] == (40, 40) and by["s"][1] == 0
     assert cuts.cut_documents(df.limit(0)).count() == 0
+
+
+def test_every_inner_place_is_counted(spark):
+    text = "Ada saw 12 (old) boats.  Bo left."
+    found = list(cuts._inner("Ada saw 12 (old) boats."))
+    assert len(found) == 22 and found[9] == ("n", "saw 9") and found[12] == ("o", " 9 (o")
+    contexts, _ = cuts.end_counts(spark.createDataFrame([(text,)] * 4, "text string"))
+    got = {r.context: r.cuts for r in contexts.collect()}
+    assert all(got.get(f"la|first|{s}|{c}", 0) > 0 for s, c in found)
