@@ -66,11 +66,11 @@ def test_groups_equal_brute_force(spark):
     want = {(keys[a], keys[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] == root[b]}
     df = spark.createDataFrame([(k, v, 1) for k, v in rows], "key string, value string, token int")
     assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want and ("s1", "s2") in want
-    kept, nd.MANY_LINKS = nd.MANY_LINKS, 0
+    kept, nd.BROADCAST_TOKENS = nd.BROADCAST_TOKENS, 0
     try:
         assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want
     finally:
-        nd.MANY_LINKS = kept
+        nd.BROADCAST_TOKENS = kept
     assert nd.grouped_pairs(df.limit(0)).count() == 0
     assert len(nd.combination_keys(np.array([5], np.int64), 5, 100)) == 100
 
@@ -91,3 +91,23 @@ def test_groups_of_texts_with_a_common_boilerplate(spark):
     want = {(keys[a], keys[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] == root[b]}
     df = spark.createDataFrame(rows, "key string, value string, token int")
     assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want and len(want) == 150
+
+
+def test_pairs_just_similar_enough_beside_a_common_block(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(n))
+    common, rows = word(70), []
+    for i in range(200):
+        own, k = word(80), rng.randrange(3)
+        lost = 46 + k  # 5-character pieces that only one of the two holds, each
+        rows += [(f"{i:03d}a", common + own + word(lost), 1), (f"{i:03d}b", common + own + word(lost), 1)]
+    sets = {k: set(nd.pieces(nd.squeezed(v)).tolist()) for k, v, _ in rows}
+    keys = sorted(sets)
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = [share(f"{i:03d}a", f"{i:03d}b") for i in range(200)]
+    assert 0.6 <= min(near) and max(near) < 0.62
+    edges = [(x, y) for x in range(len(keys)) for y in range(x) if share(keys[x], keys[y]) >= 0.6]
+    root = roots(len(keys), edges)
+    want = {(keys[a], keys[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] == root[b]}
+    df = spark.createDataFrame(rows, "key string, value string, token int")
+    assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want and len(want) == 200
