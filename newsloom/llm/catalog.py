@@ -74,11 +74,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return cuts.cut_documents(table(spark, d, "documents"))
+    return cuts.cut_documents(table(spark, d, "documents"), lang="lang")
 
 
 def p9_sources(spark: SparkSession, d: str) -> DataFrame:
-    return cuts.cuts_by_source(table(spark, d, "documents"))
+    return cuts.cuts_by_source(table(spark, d, "documents"), lang="lang")
 
 
 def queries() -> dict[str, Query]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from newsloom.llm import cuts, leaks, page_bodies, sentences, textform, token_ids
@@ -167,9 +168,42 @@ def test_cuts(spark):
 
 
 def test_every_inner_place_is_counted(spark):
-    text = "Ada saw 12 (old) boats.  Bo left."
-    found = list(cuts._inner("Ada saw 12 (old) boats."))
-    assert len(found) == 22 and found[9] == ("n", "saw 9") and found[12] == ("o", " 9 (o")
-    contexts, _ = cuts.end_counts(spark.createDataFrame([(text,)] * 4, "text string"))
-    got = {r.context: r.cuts for r in contexts.collect()}
-    assert all(got.get(f"la|first|{s}|{c}", 0) > 0 for s, c in found)
+    from collections import Counter
+
+    texts = ["Ada saw 12 (old) boats at 10.15.  Bo left. So?"] * 4 + ["“Wait,” she said.\\nA 2nd 早安「很好」line\nEnd"] * 5 + ["สวัสดี 早\n終わり。です。x"] * 4
+    want: Counter = Counter()
+    for text in texts:
+        spans = sentence_spans(text)
+        for i, (a, b) in enumerate(spans[:-1]):
+            unit = text[a:b]
+            states = cuts.quote_states(unit)
+            laid = cuts._Laid([unit])
+            label = f"{cuts._SCRIPTS[laid.script[0]]}|{'later' if i else 'first'}"
+            for at in range(1, len(unit) + 1):
+                part = unit[:at].rstrip()
+                context = ("^" + cuts._DIGITS.sub("9", part))[-cuts.ORDER :]
+                for k in range(1, len(context) + 1):
+                    kind = "end" if at == len(unit) else "cut"
+                    want[label, int(states[len(part) - 1]), context[-k:], kind] += 1
+    made = {}
+    for label, state, context, kind in want:
+        behind = np.array([[ord(c)] for c in context[::-1]] + [[0]] * (cuts.ORDER - len(context)), np.uint32)
+        key = cuts._context_keys(np.array([cuts._label_hash(label)], np.uint64), np.array([state], np.uint8), behind)[len(context) - 1][0]
+        made[int(key)] = made.get(int(key), Counter()) + Counter({kind: want[label, state, context, kind]})
+    counts = cuts.end_counts(spark.createDataFrame([(t, None) for t in texts], "text string, lang string"))
+    got = {r.key: (r.yes // cuts.WEIGHT, r.seen) for r in counts.where("what = 'c'").collect()}
+    assert got == {k: (c["end"], c["end"] + c["cut"]) for k, c in made.items() if sum(c.values()) >= cuts.SEEN}
+    wanted = spark.createDataFrame([(k,) for k in list(got)[:20]], "key long")
+    few = cuts.end_counts(spark.createDataFrame([(t, None) for t in texts], "text string, lang string"), wanted).where("what = 'c'").collect()
+    assert {r.key: (r.yes // cuts.WEIGHT, r.seen) for r in few} == {k: got[k] for k in list(got)[:20]}
+
+
+def test_a_cut_line_is_no_headline(spark):
+    rng = random.Random(6)
+    who = lambda: rng.choice(["The minister", "A teacher", "One driver", "The council"])
+    says = lambda: f"{who()} told reporters on {rng.choice(['Monday', 'Tuesday', 'Friday'])} that the new {rng.choice(['bridge', 'ferry', 'school'])} would be {rng.choice(['finished', 'finally opened', 'financed'])} soon."
+    head = lambda: f"New {rng.choice(['bridge', 'ferry', 'school'])} {rng.choice(['delayed', 'opened', 'planned'])}"
+    rows = [(i, "\n".join([head()] * (i % 2) + [" ".join(says() for _ in range(5))]), "en") for i in range(400)]
+    rows += [(1000 + i, head(), "en") for i in range(30)] + [(2000, "The minister told reporters on Tuesday that the new bridge would be fin", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in cuts.cut_documents(df, lang="lang").collect()} == {2000}
