@@ -109,6 +109,8 @@ def quote_states(unit: str) -> np.ndarray:
 
 
 def _head(unit: str) -> str:
+    if unit[:TAIL_HEAD].isalpha():
+        return unit[:TAIL_HEAD]
     return _DIGITS.sub("9", unit[:12])[:TAIL_HEAD]
 
 
@@ -286,23 +288,15 @@ def _counted(texts: list[str], codes: list[str], evidence: Evidence, sums: _Sums
     unit = laid.unit[laid.at[used]]
     weight = cuts[used] * (WEIGHT // np.maximum(laid.size - 1, 1))[unit]
     state, behind = laid.state[laid.at[used]], laid.behind(used)
-    for label in (common, own):
-        of = label[unit]
-        has = of >= 0
-        if has.all():
-            h, s, b, e, c, w, n = hashes[of], state, behind, ends[used], cuts[used], weight, number[of]
-        elif has.any():
-            h, s, b, e, c, w, n = hashes[of[has]], state[has], behind[:, has], ends[used][has], cuts[used][has], weight[has], number[of[has]]
-        else:
-            continue
-        whole = _mixed(h, s)
-        for k in range(ORDER):
-            whole = _mixed(whole, b[k])
-        order = np.argsort(whole)
-        whole = whole[order]
-        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        pick = order[first]
-        sums.add(whole[first], n[pick], s[pick], b[:, pick], *[np.add.reduceat(x[order], first) for x in (e, c, w)])
+    of = np.where(own >= 0, own, common)[unit]
+    whole = _mixed(hashes[of], state)
+    for k in range(ORDER):
+        whole = _mixed(whole, behind[k])
+    order = np.argsort(whole)
+    whole = whole[order]
+    first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+    pick = order[first]
+    sums.add(whole[first], number[of[pick]], state[pick], behind[:, pick], *[np.add.reduceat(x[order], first) for x in (ends[used], cuts[used], weight)])
     firsts = np.flatnonzero(np.array(places) == 0)
     open_end = ~_of(_ENDS, laid.codes[laid.place[laid.last]])
     for i in firsts:
@@ -311,6 +305,16 @@ def _counted(texts: list[str], codes: list[str], evidence: Evidence, sums: _Sums
             lines[names[label], step, ended] += 1
 
 
+def _pooled(number: np.ndarray, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The common label of Latin texts for what was counted by language, and where that stands."""
+    to = np.full(len(numbers) + 2, -1, np.int64)
+    for name, i in list(numbers.items()):
+        if name.startswith("la-"):
+            to[i] = numbers.setdefault("la|" + name.split("|")[1], len(numbers))
+    some = np.flatnonzero(to[number] >= 0)
+    return to[number[some]], some
+
+
 def end_counts(texts: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """what, label, key, level, head, yes, no, seen over all texts (columns text, lang).
 
@@ -328,22 +332,23 @@ def end_counts(texts: DataFrame, contexts: DataFrame | None = None) -> DataFrame
             if sums.parts:
                 sums.merge()
                 _, number, state, behind, ends, cuts, weight = sums.parts[0]
-                names = sorted(numbers, key=numbers.get)
-                keys = _context_keys(np.array([_label_hash(x) for x in names], np.uint64)[number], state, behind)
-                for k in range(ORDER):
-                    use = keys[k] != 0
-                    if sent is not None:
-                        known = sent.value
-                        use &= known[np.minimum(np.searchsorted(known, keys[k]), len(known) - 1)] == keys[k] if len(known) else False
-                    pick = np.flatnonzero(use)
-                    pick = pick[np.argsort(keys[k][pick])]
-                    if not len(pick):
-                        continue
-                    key = keys[k][pick]
-                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                    e, c, w = (np.add.reduceat(x[pick], first) for x in (ends, cuts, weight))
-                    label = [names[i] for i in number[pick[first]]]
-                    yield pd.DataFrame({"what": "c", "label": label, "key": key[first], "level": k + 1, "head": None, "yes": e * WEIGHT, "no": w, "seen": e + c})
+                for number, some in ((number, slice(None)), _pooled(number, numbers)):
+                    names = sorted(numbers, key=numbers.get)
+                    keys = _context_keys(np.array([_label_hash(x) for x in names], np.uint64)[number], state[some], behind[:, some])
+                    for k in range(ORDER):
+                        use = keys[k] != 0
+                        if sent is not None:
+                            known = sent.value
+                            use &= known[np.minimum(np.searchsorted(known, keys[k]), len(known) - 1)] == keys[k] if len(known) else False
+                        pick = np.flatnonzero(use)
+                        pick = pick[np.argsort(keys[k][pick])]
+                        if not len(pick):
+                            continue
+                        key = keys[k][pick]
+                        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                        e, c, w = (np.add.reduceat(x[some][pick], first) for x in (ends, cuts, weight))
+                        label = [names[i] for i in number[pick[first]]]
+                        yield pd.DataFrame({"what": "c", "label": label, "key": key[first], "level": k + 1, "head": None, "yes": e * WEIGHT, "no": w, "seen": e + c})
             rows = [("h", None, 0, 0, head[: k + 1], int(end) * n, int(not end) * n, n) for (head, end), n in heads.items() for k in range(len(head))]
             rows += [("l", label, step, 0, None, n * (not ended), n * ended, n) for (label, step, ended), n in lines.items()]
             yield pd.DataFrame(rows, columns=["what", "label", "key", "level", "head", "yes", "no", "seen"])
