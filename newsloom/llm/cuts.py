@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.sentences import BRACKETS, CLOSERS, STOPS, Evidence, _quote_pairs, sentence_spans
@@ -66,15 +66,17 @@ _RANGES = ((0x0E01, 0x0E5B), (0x0900, 0x097F), (0x3041, 0x30FF), (0x3400, 0x9FFF
 _MARK, _NINE = ord("^"), ord("9")
 
 
-def _table(kind, test) -> np.ndarray:
-    return np.array([test(chr(c)) for c in range(0x10000)], kind)
+def _table(test) -> np.ndarray:
+    return np.fromiter(map(test, map(chr, range(0x10000))), bool, 0x10000)
 
 
-_CLASS = _table(np.uint8, lambda c: next((i + 1 for i, (a, b) in enumerate(_RANGES) if a <= ord(c) <= b), 0))
-_DECIMAL = _table(bool, str.isdecimal)
-_BLANK = _table(bool, str.isspace)
-_OPENS = _table(bool, lambda c: bool(_STATE_OPENS.match(c)))
-_ENDS = _table(bool, lambda c: c in STOPS + ".…" or c in CLOSERS)
+_CLASS = np.zeros(0x10000, np.uint8)
+for _i, (_a, _b) in enumerate(_RANGES):
+    _CLASS[_a : _b + 1] = _i + 1
+_DECIMAL = _table(str.isdecimal)
+_BLANK = _table(str.isspace)
+_OPENS = _table(set("「『“„«（(《\"").__contains__)
+_ENDS = _table((set(STOPS + ".…") | CLOSERS).__contains__)
 
 
 def without_torn_end(text: str) -> str:
@@ -382,40 +384,45 @@ def end_counts(texts: DataFrame, contexts: DataFrame | None = None) -> DataFrame
     )
 
 
-def fitted_thresholds(counts: DataFrame) -> DataFrame:
-    """label, threshold: the value of log-odds that divides ends and inner places of a language and place with the least error.
+def fitted_thresholds(counts: DataFrame) -> dict[str, float]:
+    """label -> the value of log-odds that divides ends and inner places of a language and place with the least error.
 
-    Every occurrence of a whole context is scored by the others of it. Of equal errors the threshold next to 0 is taken.
+    Every occurrence of a whole context is scored by the others of it. Of equal errors the threshold next to 0 is taken. Sums by
+    label and step come to the driver: MOST / STEP * 2 + 1 for each language code of two letters and place.
     """
     ends, cuts = F.col("yes") / WEIGHT, F.col("no") / WEIGHT
-    inner = F.col("seen") - ends
+    inner, top = F.col("seen") - ends, int(MOST / STEP)
     whole = counts.where((F.col("what") == "c") & (F.col("level") == ORDER) & (F.col("seen") > SEEN))
-    step = lambda odds: F.greatest(F.least(F.floor(F.log(odds) / STEP), F.lit(int(MOST / STEP))), F.lit(-int(MOST / STEP)))
-    as_end = whole.where(ends > 0).select("label", step((ends - 0.5) / (cuts + 0.5)).alias("step"), ends.alias("e"), F.lit(0.0).alias("c"))
-    as_cut = whole.where(inner > 0).select("label", step((ends + 0.5) / (cuts * (inner - 1) / inner + 0.5)).alias("step"), F.lit(0.0).alias("e"), cuts.alias("c"))
-    all_steps = counts.sparkSession.range(-int(MOST / STEP), int(MOST / STEP) + 1).select(F.col("id").alias("step"), F.lit(0.0).alias("e"), F.lit(0.0).alias("c"))
-    sums = as_end.unionByName(as_cut)
-    sums = sums.unionByName(sums.select("label").distinct().join(F.broadcast(all_steps)))  # a hundred steps for each language
-    by = sums.groupBy("label", "step").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
-    up, whole_label = Window.partitionBy("label").orderBy("step"), Window.partitionBy("label")
-    lost = F.coalesce(F.sum("e").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    taken = F.sum("c").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    scored = by.select("label", "step", F.round(lost + taken, 3).alias("error"), F.sum("e").over(whole_label).alias("n"))
-    return scored.where(F.col("n") >= FITTED).groupBy("label").agg((F.min_by("step", F.struct("error", F.abs("step"), "step")) * STEP).alias("threshold"))
-
-
-def line_odds(counts: DataFrame) -> DataFrame:
-    """label, line, odds: how much likelier a headline is at least that long than a beginning of a first sentence is."""
-    by = counts.where("what = 'l'").select("label", F.col("key").cast("int").alias("line"), F.col("yes").cast("double").alias("yes"), (F.col("yes") + F.col("no")).cast("double").alias("n"))
-    steps = counts.sparkSession.range(LONGEST + 1).select(F.col("id").cast("int").alias("line"), F.lit(0.0).alias("yes"), F.lit(0.0).alias("n"))
-    by = by.unionByName(by.select("label").distinct().join(F.broadcast(steps))).groupBy("label", "line").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
-    longer = Window.partitionBy("label").orderBy("line").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy("label")
-    inner = F.sum(F.col("n") / (F.col("line") + 1)).over(longer)  # a line's inner places are spread evenly over the lengths below its own
-    both = by.select("label", "line", "yes", inner.alias("inner"))
-    share = lambda c: (F.sum(c).over(longer) + 0.5) / (F.sum(c).over(whole) + 0.5)
-    falling = Window.partitionBy("label").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.select("label", "line", F.log(share("yes") / share("inner")).alias("odds")).select("label", "line", F.min("odds").over(falling).alias("odds"))
+    step = lambda odds: F.greatest(F.least(F.floor(F.log(odds) / STEP), F.lit(top)), F.lit(-top)).cast("int")
+    as_end = F.struct(step((ends - 0.5) / (cuts + 0.5)).alias("step"), ends.alias("e"), F.lit(0.0).alias("c"))
+    as_cut = F.struct(step((ends + 0.5) / (cuts * (inner - 1) / inner + 0.5)).alias("step"), F.lit(0.0).alias("e"), cuts.alias("c"))
+    both = whole.select("label", F.explode(F.array(F.when(ends > 0, as_end), F.when(inner > 0, as_cut))).alias("x")).where("x is not null")
+    sums: dict[str, np.ndarray] = {}
+    for r in both.groupBy("label", "x.step").agg(F.sum("x.e").alias("e"), F.sum("x.c").alias("c")).collect():
+        sums.setdefault(r.label, np.zeros((2, 2 * top + 1)))[:, r.step + top] += (r.e, r.c)
+    found = {}
+    for label, (e, c) in sums.items():
+        if e.sum() >= FITTED:
+            error = np.round(np.cumsum(e) - e + np.cumsum(c[::-1])[::-1], 3)
+            found[label] = STEP * min(range(-top, top + 1), key=lambda t: (error[t + top], abs(t), t))
+    return found
+
+
+def line_odds(counts: DataFrame) -> dict[str, np.ndarray]:
+    """label -> by length step, how much likelier a headline is at least that long than a beginning of a first sentence is.
+
+    LONGEST + 1 sums for each language code of two letters come to the driver.
+    """
+    sums: dict[str, np.ndarray] = {}
+    for r in counts.where("what = 'l'").select("label", "key", "yes", "no").collect():
+        sums.setdefault(r.label, np.zeros((2, LONGEST + 1)))[:, r.key] += (r.yes, r.yes + r.no)
+    found = {}
+    for label, (yes, n) in sums.items():
+        longer = lambda x: np.cumsum(x[::-1])[::-1]
+        inner = longer(n / (np.arange(LONGEST + 1) + 1))  # a line's inner places are spread evenly over the lengths below its own
+        share = lambda x: (longer(x) + 0.5) / (x.sum() + 0.5)
+        found[label] = np.minimum.accumulate(np.log(share(yes) / share(inner)))
+    return found
 
 
 def cut_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
@@ -437,15 +444,16 @@ def cut_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", la
     )
     odds = F.log((F.col("c.yes") / WEIGHT + 0.5) / (F.col("c.no") / WEIGHT + 0.5))
     odds = F.coalesce(odds, F.when(F.col("label").endswith("first"), MOST).otherwise(-math.inf))  # no sentence ends like this: strange in a text of many
+    thresholds, lengths = fitted_thresholds(contexts), line_odds(counts)
+    threshold = F.create_map(*[F.lit(x) for pair in sorted(thresholds.items()) for x in pair])[F.col("label")] if thresholds else F.lit(None)
+    length = F.create_map(*[F.lit(x) for k, v in sorted(lengths.items()) for x in (k, v.tolist())])[F.col("label")][F.col("line")] if lengths else F.lit(None)
     scored = cut(
         finals.select(key, "label", "line")
         .join(known, key, "left")
         .join(ending.withColumn("tail_line", F.lit(True)), key, "left")
-        .join(line_odds(counts), ["label", "line"], "left")
-        .join(fitted_thresholds(contexts.unionByName(counts.where("what <> 'c'"))), "label", "left")
         .select(
             key, "line", F.coalesce("tail_line", F.lit(False)).alias("tail_line"), F.coalesce(F.floor(F.col("c.rank") / 2), F.lit(0)).alias("order"),
-            odds.alias("context"), F.coalesce("odds", F.lit(0.0)).alias("length"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"),
+            odds.alias("context"), F.coalesce(length, F.lit(0.0)).alias("length"), F.coalesce(threshold, F.lit(0.0)).alias("threshold"),
         )
     )
     is_cut = ~F.col("tail_line") & (F.col("context") < F.col("threshold"))
