@@ -90,25 +90,58 @@ def _split(content: str) -> list[str]:
     return [x.strip().strip("​﻿") for x in content.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
 
 
+def recurring_blocks(pages: DataFrame) -> DataFrame:
+    """key: the blocks that LEAST pages or more have, of whatever host."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen: Counter = Counter()
+            for host, content in zip(pdf["host"], pdf["content"]):
+                site = _site(host)
+                seen.update({_masked(x, site) for x in _split(content) if x})
+            yield pd.DataFrame([(_hash(m), n) for m, n in seen.items()], columns=["key", "n"]).astype("int64")
+
+    return pages.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("key")
+
+
+def _keys_of(content: str, host: str) -> set[int]:
+    site = _site(host)
+    return {_hash(_masked(x, site)) for x in _split(content) if x}
+
+
+def _with_keys(pages: DataFrame, keys: DataFrame, of, name: str) -> DataFrame:
+    """``pages`` and, as array ``name``, those of ``keys`` (column key) that ``of`` finds on each page; for keys too many to be broadcast."""
+
+    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(at, key) for at, host, content in zip(pdf["at"], pdf["host"], pdf["content"]) for key in of(content, host)]
+            yield pd.DataFrame(found, columns=["at", "key"]).astype("int64")
+
+    placed = pages.withColumn("at", F.xxhash64("page_id", "content"))
+    of_page = placed.select("at", "host", "content").mapInPandas(looked_up, "at long, key long").join(keys, "key").groupBy("at").agg(F.collect_set("key").alias(name))
+    return placed.join(of_page, "at", "left").drop("at")
+
+
 def block_counts(pages: DataFrame) -> DataFrame:
     """kind, host, key, n, beside, follow, before, ended: blocks (b), beginnings (p) and endings (s) of lines per host, one per page.
 
-    beside: pages where it stands beside a sentence that no other page of the batch has; follow: lines that can be entries of
+    beside: pages where it stands beside a sentence that fewer than LEAST pages have; follow: lines that can be entries of
     a list and follow it; before: pages where such a sentence precedes it.
     """
+    recurring, sent = cut(recurring_blocks(pages)), None
+    if recurring.count() <= BROADCAST_TEMPLATES:
+        sent = pages.sparkSession.sparkContext.broadcast(frozenset(r.key for r in recurring.collect()))  # at most BROADCAST_TEMPLATES
+    else:
+        pages = _with_keys(pages, recurring, _keys_of, "again")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parsed = []
-            seen: Counter = Counter()
-            for page, host, content in zip(pdf["page_id"], pdf["host"], pdf["content"]):
+            found: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+            held = [sent.value] * len(pdf) if sent is not None else [frozenset(x) if x is not None else frozenset() for x in pdf["again"]]
+            for host, content, again in zip(pdf["host"], pdf["content"], held):
                 site = _site(host)
                 lines = [(x, _masked(x, site)) for x in _split(content) if x]
-                parsed.append((host, lines))
-                seen.update({m for _, m in lines})
-            found: dict[tuple[str, str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
-            for host, lines in parsed:
-                flags = [(ended(x), seen[m] == 1, len(x) >= 25) for x, m in lines]
+                flags = [(ended(x), _hash(m) not in again, len(x) >= 25) for x, m in lines]
                 sentence = [e and u and long for e, u, long in flags]
                 plain = [not e for e, _, _ in flags]
                 run_after, preceded = [0] * (len(lines) + 1), False
@@ -340,14 +373,7 @@ def page_bodies(rows: DataFrame) -> DataFrame:
 
     grouped = templates.where("host <> ''").groupBy("host").agg(F.collect_list(F.struct("kind", "key", "top")).alias("known"))
 
-    def looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(at, key) for at, host, content in zip(pdf["at"], pdf["host"], pdf["content"]) for key in _word_keys(content, host)]
-            yield pd.DataFrame(found, columns=["at", "key"]).astype("int64")
-
-    placed = pages.withColumn("at", F.xxhash64("page_id", "content"))
     pooled = templates.where("kind = 'w'").select("key").distinct()
-    of_page = placed.mapInPandas(looked_up, "at long, key long").join(pooled, "key").groupBy("at").agg(F.collect_set("key").alias("words"))
 
     def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -359,4 +385,4 @@ def page_bodies(rows: DataFrame) -> DataFrame:
                     frames += [(page, i) for i in article_lines(content, host, known, set(words) if words is not None else set())]
             yield pd.DataFrame(frames, columns=["page_id", "line_no"])
 
-    return placed.join(grouped, "host", "left").join(of_page, "at", "left").drop("at").mapInPandas(many, out).distinct()
+    return _with_keys(pages, pooled, _word_keys, "words").join(grouped, "host", "left").mapInPandas(many, out).distinct()

@@ -2,7 +2,7 @@
 
 Method: connected components over records that share a form or a token (alternating large-star and small-star over
 record-less edges: every distinct form and token is a vertex, so a form held by a third of all rows is one vertex and
-its rows are never gathered), then a hash of the component identifier falls into proportional ranges.
+its rows are never gathered), then a seeded hash of the component identifier falls into proportional ranges.
 
 Defined results: null and all-blank values equal nothing; repeated rows get the same split; a record with neither form
 nor token is a group of its own. An empty table gives no rows.
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.components import connected_components
 from newsloom.plans.runtime import cut
 
-#: Groups that hold at least this share of all rows are placed by size instead of by hash; there can be no more than 1 / LARGE.
-LARGE = 0.01
+NAMES = ("train", "validation", "test")
+#: Seeds of the hash that are tried where none is given.
+SEEDS = 24
 
 
 def _plain(name: str):
@@ -40,34 +41,37 @@ def record_groups(rows: DataFrame) -> DataFrame:
     return plain.join(of, F.col("vertex") == F.col("node")).select("sample_id", "tag", F.col("component").alias("group"), "group_form")
 
 
-def split_records(rows: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 17) -> DataFrame:
+def _split_of(seed, shares: tuple[float, float, float]):
+    point = F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    return F.when(point < shares[0], "train").when(point < shares[0] + shares[1], "validation").otherwise("test")
+
+
+def chosen_seed(grouped: DataFrame, shares: tuple[float, float, float]) -> int:
+    """The one of SEEDS seeds whose hash ranges hold shares of the rows, and of those with tag 1, next to ``shares``.
+
+    One aggregate over group sizes gives the sums of all seeds; the least seed wins of equal ones.
+    """
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), F.count(F.when(F.col("tag") == 1, 1)).alias("ones"))
+    tried = sizes.select("n", "ones", *[_split_of(k, shares).alias(f"s{k}") for k in range(SEEDS)])
+    sums = [F.sum(F.when(F.col(f"s{k}") == name, F.col(c))).alias(f"{c}_{k}_{name}") for k in range(SEEDS) for name in NAMES for c in ("n", "ones")]
+    r = tried.agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), *sums).first()
+
+    def off(k: int) -> float:
+        return sum(abs((r[f"{c}_{k}_{name}"] or 0) / max(1, r[c] or 0) - share) for name, share in zip(NAMES, shares) for c in ("n", "ones"))
+
+    return min(range(SEEDS), key=lambda k: (off(k), k))
+
+
+def split_records(rows: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int | None = None) -> DataFrame:
     """sample_id, group_form, split: every group whole in train, validation or test.
 
-    Groups with a LARGE share of the rows (at most 1 / LARGE of them, so their list is bounded) are placed one by one,
-    the largest first, where most room is left; the hash ranges of the others are then set so that the sums come out
-    at ``shares``. Small groups with and without a tag of 1 are hashed by the same ranges, so the shares of tag 1 are alike.
+    The hash of the group falls into the ranges of ``shares``, whatever the group's size. Without a ``seed`` the hash is seeded
+    so that the sums come out next to ``shares`` (a group of a third of all rows then falls where there is room for it); with
+    one a group's split never changes as the table grows.
     """
     grouped = cut(record_groups(rows))
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    total = grouped.count()
-    names = ("train", "validation", "test")
-    room = [s * total for s in shares]
-    placed = []
-    large = sizes.where(F.col("n") >= max(2, LARGE * total)).orderBy(F.desc("n"), "group").limit(int(1 / LARGE)).collect()
-    for r in large:
-        k = max(range(3), key=lambda i: (room[i] - (0 if room[i] >= r.n else 2 * total), -i))
-        room[k] -= r.n
-        placed.append((r.group, names[k]))
-    rest = [max(0.0, x) for x in room]
-    whole = sum(rest) or 1.0
-    first, second = rest[0] / whole, (rest[0] + rest[1]) / whole
-    point = F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    hashed = F.when(point < first, names[0]).when(point < second, names[1]).otherwise(names[2])
-    if placed:
-        fixed = rows.sparkSession.createDataFrame(placed, "group long, fixed string")
-        grouped = grouped.join(F.broadcast(fixed), "group", "left")  # at most 1 / LARGE rows
-        hashed = F.coalesce("fixed", hashed)
-    return grouped.select("sample_id", "group_form", hashed.alias("split"))
+    seed = chosen_seed(grouped, shares) if seed is None else seed
+    return grouped.select("sample_id", "group_form", _split_of(seed, shares).alias("split"))
 
 
 def split_report(rows: DataFrame) -> DataFrame:

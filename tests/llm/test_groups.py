@@ -46,6 +46,9 @@ def test_splits(spark):
     train = sum(r.split == "train" for r in s) / 3000
     assert 0.74 < train < 0.86
     assert splits.split_records(df.limit(0)).count() == 0
+    fixed = lambda n: {r.sample_id: r.split for r in splits.split_records(spark.createDataFrame(many[:n], df.schema), seed=3).collect()}
+    some, more = fixed(1500), fixed(3000)
+    assert sum(some[k] != more[k] for k in some) < 20  # only groups that grew together change
 
 
 def test_groups_equal_brute_force(spark):

@@ -138,6 +138,20 @@ def test_a_message_seen_once_on_a_large_host(spark):
     assert not {p for p, _ in got} & {25, *(100 * h + 12 for h in range(1, 10))}
 
 
+def test_page_bodies_do_not_depend_on_batches(spark):
+    pages = [(i, f"https://sitealpha{i % 3}.example/a/{i}", "s", site(i % 40).replace("sitealpha", f"sitealpha{i % 3}"), "h") for i in range(150)]
+    df = spark.createDataFrame(pages, "page_id long, url string, source string, content string, host string")
+    name, results = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    kept = spark.conf.get(name)
+    try:
+        for size in ("7", "50", "10000"):
+            spark.conf.set(name, size)
+            results.append({(r.page_id, r.line_no) for r in page_bodies.page_bodies(df).collect()})
+    finally:
+        spark.conf.set(name, kept)
+    assert results[0] and results[0] == results[1] == results[2]
+
+
 def test_menu_words_of_other_hosts_in_both_paths(spark):
     pages = [(i, f"https://sitealpha.example/a/{i}", "s", "Weather\nCulture\n" + site(i), "h") for i in range(40)]
     body = "One plain sentence that stands alone here.\nAnother one that follows it on the page."
