@@ -171,9 +171,18 @@ def topic_of(url: Column | str, topics: Mapping[str, str] = TOPICS, part: int =
 
 
 def round_places(x: Column, places: int) -> Column:
-    """Rounded half away from nought after scaling, as binary arithmetic does it (0.575 gives 0.57: the double is below it)."""
-    scale = float(10**places)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    """A double rounded by its exact binary value, ties to the even neighbour (2.675 gives 2.67, 0.125 gives 0.12; exact below 2^52 / 10^places).
+
+    The product with the power of ten is taken with its rounding error (Dekker's splitting), so that no tie is made or hidden by it.
+    """
+    scale, a = float(10**places), F.abs(x.cast("double"))
+    high = a * 134217729.0 - (a * 134217729.0 - a)
+    product = a * scale
+    error = (high * scale - product) + (a - high) * scale
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    return F.signum(x) * F.when(up, whole + 1).otherwise(whole) / scale
 
 
 def overlay(left: Column | str, right: Column | str) -> Column:

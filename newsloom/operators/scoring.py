@@ -9,10 +9,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.operators.ranking import dense_positions
 from newsloom.plans.runtime import spread
 
 #: Names of a gazetteer that are sent to the workers at once; a larger one is used block by block.
@@ -155,9 +156,12 @@ def cluster_candidates(postings: DataFrame, terms: DataFrame, key: str) -> DataF
 
 
 def arrival_order(rows: DataFrame, group: str, time: str) -> DataFrame:
-    """group, first, ordinal: groups numbered from 0 by the time of their first row, of equals by name (one row for each group)."""
+    """group, first, ordinal: groups numbered from 0 by the time of their first row, of equals by name (one row for each group).
+
+    Numbered by range partitions with offsets, so that no task sees all groups.
+    """
     firsts = rows.where(F.col(group).isNotNull() & F.col(time).isNotNull()).groupBy(group).agg(F.min(time).alias("first"))
-    return firsts.withColumn("ordinal", F.dense_rank().over(Window.orderBy("first", group)) - 1)
+    return dense_positions(firsts, ["first", group], "ordinal", 0)
 
 
 def event_document_text(documents: DataFrame) -> DataFrame:

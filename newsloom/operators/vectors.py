@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +65,16 @@ def cosine(a: Column, b: Column) -> Column:
 def mean_similarity_to_groups(vectors: DataFrame, key: str, vector: str, group: str) -> DataFrame:
     """key, group, mean cosine of each row to all members of its own group: dot with the sum of unit members over their number.
 
-    The sums have one row per (group, dimension), so the cost is linear in the rows whatever the size of a group.
+    Units are summed with partial sums before the shuffle, so a group of any size is no hot spot; the sums, one row for each group,
+    come back by a join on it. Vectors of one length in a group are compared with each other; null vectors, vectors with nulls and
+    null groups take no part.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    units = vectors.where(norm > 0).select(key, group, F.transform(vector, lambda x: x.cast("double") / norm).alias("u"))
-    parts = units.select(key, group, F.posexplode("u").alias("d", "x"))
-    sums = parts.groupBy(group, "d").agg(F.sum("x").alias("s"))
-    sizes = units.groupBy(group).agg(F.count("*").alias("n"))
-    dots = parts.join(sums, [group, "d"]).groupBy(key, group).agg(F.sum(F.col("x") * F.col("s")).alias("dot"))
-    return dots.join(sizes, group).select(key, group, (F.col("dot") / F.col("n")).alias("similarity"))
+    units = vectors.where(F.col(group).isNotNull() & (norm > 0)).select(key, group, F.size(vector).alias("_d"), F.transform(vector, lambda x: x.cast("double") / norm).alias("u"))
+    parts = units.groupBy(group, "_d").agg(Summarizer.sum(array_to_vector("u")).alias("s"), F.count("*").alias("n"))
+    whole = parts.select(group, "_d", vector_to_array("s").alias("s"), "n")
+    dot = F.aggregate(F.zip_with("u", "s", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return units.join(whole, [group, "_d"]).select(key, group, (dot / F.col("n")).alias("similarity"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 2_000) -> DataFrame:

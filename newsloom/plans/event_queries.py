@@ -233,6 +233,7 @@ _LEX = """select doc_id as id, length(h) as words, h, ((length(h) - length(repla
     ((length(h) - length(replace(h, '款', ''))) + (length(h) - length(replace(h, '補助', ''))) / 2)::int as money, ((length(h) - length(replace(h, '計畫', ''))) / 2 + (length(h) - length(replace(h, '工程', ''))) / 2)::int as plan
     from (select doc_id, regexp_replace(text, '[^一-龥]', '', 'g') as h from documents where text is not null)"""
 
+# printf rounds a double by its exact binary value, ties to even, as the scores are rounded.
 SQL = {
     "doc_freq": f"select term, count(*) as df from {_TERMS} group by term",
     "tfidf": f"with {_IDF} select doc_id, count(*) as terms, round(sum(weight), 4) as weight from w group by doc_id",
@@ -264,9 +265,9 @@ SQL = {
     "padded_tags": """select aid, sidx, 8 as n, coalesce(list_sum(tags[1:8]), 0)::int as total from (select distinct aid, sidx, tags[1:8] as tags from tag_sequences where tags is not null)""",
     "characters": r"select distinct eid, length(regexp_replace(name, '[ \t\n\r\f\x0b]|\x{202F}', '', 'g'))::int as n from entities where name is not null",
     "map_overlay": "select r_regionkey, r_name as a, r_name as b, 'new' as c from region",
-    "trait_features": f"""select id, category, ratio, category || case when ratio > mean then '+' else '-' end as feature from (select id, 'talk' as category, round(talk / words, 2) as ratio, 0.01::double as mean from ({_LEX}) where words > 0
-        union all select id, 'money', round(money / words, 2), 0.0 from ({_LEX}) where words > 0 union all select id, 'plan', round(plan / words, 2), 0.02 from ({_LEX}) where words > 0)""",
-    "trait_scores": f"""select id, trait, round(v * w + b, 2) as score from (select id, (talk * 1.0::double + money * 2.0::double + plan * 4.0::double) / (talk + money + plan) as v from ({_LEX}) where talk + money + plan <> 0),
+    "trait_features": f"""select id, category, ratio, category || case when ratio > mean then '+' else '-' end as feature from (select id, 'talk' as category, printf('%.2f', talk / words)::double as ratio, 0.01::double as mean from ({_LEX}) where words > 0
+        union all select id, 'money', printf('%.2f', money / words)::double, 0.0 from ({_LEX}) where words > 0 union all select id, 'plan', printf('%.2f', plan / words)::double, 0.02 from ({_LEX}) where words > 0)""",
+    "trait_scores": f"""select id, trait, printf('%.2f', v * w + b)::double as score from (select id, (talk * 1.0::double + money * 2.0::double + plan * 4.0::double) / (talk + money + plan) as v from ({_LEX}) where talk + money + plan <> 0),
         (select 'open' as trait, 0.5::double as w, 0.0::double as b union all select 'calm', -0.25, 1.0)""",
     "standardised": "select c_custkey, round((c_acctbal - (select avg(c_acctbal) from customer)) / (select stddev_pop(c_acctbal) from customer), 4) as c_acctbal from customer",
     "event_counts": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2",

@@ -37,13 +37,18 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a partition before Python work.
+    """Give every core a partition before Python work, without running anything.
 
-    A small Parquet file arrives as one partition; a large table already has more partitions than
-    cores and is returned untouched, so nothing is shuffled at scale.
+    A small Parquet file arrives as one partition; a large table already has more partitions than cores and is returned
+    untouched, so a scan isn't shuffled at scale. What comes out of a shuffle, whose partitions are known only when it has
+    run, is dealt out evenly.
     """
-    n = parallelism(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    spark = df.sparkSession
+    n = parallelism(spark)
+    done = df._jdf.queryExecution()
+    if "Exchange" in done.executedPlan().toString():
+        return df.repartition(max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df if done.toRdd().getNumPartitions() >= n else df.repartition(n)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -63,3 +63,10 @@ def test_old_cleaning_and_item_names(spark):
         want = want.replace(literal, "")
     assert one(spark, text, T.clean_old) == want
     assert one(spark, T.ITEM_ADDRESS + "Q5[3]", T.wiki_name) == "Q5"
+
+
+def test_round_places_as_binary_values_are(spark):
+    values = [2.675, 0.125, 0.375, 1.005, 0.575, -2.675, -0.125, 0.0, 123456.785, 2.5, 1e-9, 0.285] + [i / 1000 for i in range(-300, 300, 7)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = [(r.x, r.y) for r in df.select("x", T.round_places(F.col("x"), 2).alias("y")).collect()]
+    assert all(y == round(x, 2) for x, y in got)
