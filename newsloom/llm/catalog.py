@@ -32,6 +32,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return textform.look_alike_pairs(_look_alike_values(spark, d))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return textform.look_alike_classes(_look_alike_values(spark, d))
+
+
 def _contents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "articles").select(F.col("id").alias("key"), F.col("content").alias("value"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.textform import one_form
-from newsloom.plans.runtime import spread
+from newsloom.plans.runtime import cut, spread
 
 WIDE, NARROW = 40, 90
 #: Kept hashes of the items that may be sent to every worker (8 bytes each); more are joined by a shuffle instead.
@@ -98,13 +98,13 @@ def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.repeat(np.arange(len(texts)), [len(t) for t in texts])
 
 
-def _fingerprints(texts: list[str], kind: str, k: int, w: int, items: bool) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Owner number, position and hash of every kept gram. Corpus texts without a wide letter skip the wide class."""
+def _fingerprints(texts: list[str], kind: str, k: int, w: int, items: bool, wide_only: bool = False) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Owner number, position and hash of every kept gram. With ``wide_only`` corpus texts without a wide letter skip the wide class."""
     if items:
         chosen = [i for i, t in enumerate(texts) if is_wide(t) == (kind == "wide")]
     else:
         least = k + w - 1
-        chosen = [i for i, t in enumerate(texts) if len(t) >= least and (kind != "wide" or _CJK.search(t))]
+        chosen = [i for i, t in enumerate(texts) if len(t) >= least and (kind != "wide" or not wide_only or _CJK.search(t))]
     codes, owner = _laid([texts[i] for i in chosen])
     at, h = winnow(codes, owner, k, w)
     starts = np.concatenate([[0], np.cumsum([len(texts[i]) for i in chosen])]).astype(np.int64)
@@ -116,7 +116,7 @@ def longest_run(a: str, b: str, a_at: list[int], b_at: list[int], k: int) -> int
     """The longest common run that any of the hits extends to; hits on a diagonal that was already covered are skipped."""
     best, covered = 0, {}
     for i, j in sorted(zip(a_at, b_at)):
-        if a[i : i + k] != b[j : j + k] or covered.get(i - j, -1) >= i:
+        if i < 0 or j < 0 or a[i : i + k] != b[j : j + k] or covered.get(i - j, -1) >= i:
             continue
         left = 0
         while i - left > 0 and j - left > 0 and a[i - left - 1] == b[j - left - 1]:
@@ -151,61 +151,88 @@ def _letters_column():
     return convert
 
 
+def _wide_only(texts: list[str]) -> bool:
+    """Whether every long enough run of a wide item has a wide letter, so that documents without one can't share it."""
+    return not any(is_wide(t) and len(part) >= WIDE for t in texts for part in _CJK.split(t))
+
+
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, run: the longest common run of every document and item that share one long enough.
 
-    The corpus is read once; its kept hashes are filtered by those of the items inside the worker where these are few
-    (BROADCAST_HASHES), else by the join alone. Only hits are shuffled, with the document's letters added once per hit pair.
+    Where the items' kept hashes are few (BROADCAST_HASHES; their letters then are, too, as every window of a text keeps one) they
+    go to the workers with the letters, and the corpus is read once: a document's hits are looked up and extended where it is
+    read, and only pairs come out. More are joined by hash; then the letters of documents with a hit are read a second time.
     """
     spark = documents.sparkSession
-    prints = item_prints(items).persist()
+    prints = cut(item_prints(items))
     n = prints.count()
-    known = None
+    size = {kind: k for kind, k, _ in _classes()}
+    rows = spread(documents.where("text is not null").select("doc_id", "text"))
+    result = "doc_id long, item_id long, kind string, run int"
+    if n == 0:
+        return spark.createDataFrame([], "doc_id long, item_id long, run int")
     if n <= BROADCAST_HASHES:
-        found = np.array([r.hash for r in prints.select("hash").distinct().collect()], np.int64)  # at most BROADCAST_HASHES
-        known = spark.sparkContext.broadcast(np.sort(found))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [letters(t) for t in pdf["text"]]
-            ids = pdf["doc_id"].to_numpy()
-            for kind, k, w in _classes():
-                who, at, h = _fingerprints(texts, kind, k, w, False)
-                h = h.view(np.int64)
-                if known is not None and len(h):
-                    table = known.value
-                    if not len(table):
+        held = prints.toPandas()  # at most BROADCAST_HASHES
+        known = prints.select("item_id").distinct()
+        texts = [(r.item_id, letters(r.text)) for r in items.where("text is not null").join(known, "item_id", "left_semi").select("item_id", "text").distinct().collect()]
+        by_item: dict[int, list[str]] = {}
+        for item, text in texts:
+            by_item.setdefault(item, []).append(text)
+        tables = {}
+        for kind, part in held.groupby("kind"):
+            part = part.sort_values("hash", kind="stable")
+            tables[kind] = (part["hash"].to_numpy(), part["item_id"].to_numpy(), part["item_at"].to_numpy())
+        sent = spark.sparkContext.broadcast((tables, by_item, _wide_only([t for _, t in texts])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tables, by_item, wide_only = sent.value
+            for pdf in batches:
+                texts, ids, out = [letters(t) for t in pdf["text"]], pdf["doc_id"].to_numpy(), []
+                for kind, k, w in _classes():
+                    if kind not in tables:
                         continue
-                    hit = np.nonzero(table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h)[0]
-                    who, at, h = [who[i] for i in hit], at[hit], h[hit]
-                if len(h):
-                    yield pd.DataFrame({"doc_id": ids[who], "kind": kind, "hash": h, "doc_at": at})
-
-    corpus = spread(documents.where("text is not null").select("doc_id", "text"))
-    hits = (
-        corpus.mapInPandas(run, "doc_id long, kind string, hash long, doc_at long")
-        .join(prints, ["kind", "hash"])
-        .groupBy("doc_id", "item_id", "kind")
-        .agg(F.collect_list(F.struct("doc_at", "item_at")).alias("hits"))
-    )
-    convert = _letters_column()
-    both = (
-        hits.join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-        .join(items.select("item_id", F.col("text").alias("item_text")), "item_id")
-        .select("doc_id", "item_id", "kind", "hits", convert("doc_text").alias("a"), convert("item_text").alias("b"))
-    )
-    size = {kind: k for kind, k, _ in _classes()}
+                    hashes, item_ids, item_at = tables[kind]
+                    who, at, h = _fingerprints(texts, kind, k, w, False, wide_only)
+                    h = h.view(np.int64)
+                    low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+                    hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                    for i in np.nonzero(high > low)[0]:
+                        for j in range(low[i], high[i]):
+                            hits.setdefault((who[i], int(item_ids[j])), []).append((int(at[i]), int(item_at[j])))
+                    for (i, item), places in hits.items():
+                        best = max(longest_run(texts[i], b, [x for x, _ in places], [y for _, y in places], k) for b in by_item[item])
+                        out.append((ids[i], item, kind, best))
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "run"])
+
+        found = rows.mapInPandas(run, result)
+    else:
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            runs = [
-                longest_run(r.a, r.b, [h["doc_at"] for h in r.hits], [h["item_at"] for h in r.hits], size[r.kind]) for r in pdf.itertuples()
-            ]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "kind": pdf["kind"], "run": runs})
-
-    return (
-        both.mapInPandas(extend, "doc_id long, item_id long, kind string, run int")
-        .where(F.col("run") >= F.when(F.col("kind") == "wide", WIDE).otherwise(NARROW))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("run").alias("run"))
-    )
+        def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                texts, ids = [letters(t) for t in pdf["text"]], pdf["doc_id"].to_numpy()
+                for kind, k, w in _classes():
+                    who, at, h = _fingerprints(texts, kind, k, w, False, False)
+                    if len(h):
+                        yield pd.DataFrame({"doc_id": ids[who], "kind": kind, "hash": h.view(np.int64), "doc_at": at})
+
+        hits = cut(
+            rows.mapInPandas(fingerprints, "doc_id long, kind string, hash long, doc_at long")
+            .join(prints, ["kind", "hash"])
+            .groupBy("doc_id", "item_id", "kind", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
+            .agg(F.array_sort(F.collect_set("doc_at")).alias("at"))
+        )  # a diagonal has no more hits than the item has windows
+        convert = _letters_column()
+        docs = documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("text").alias("doc_text")).where("doc_text is not null").distinct()
+        both = (
+            hits.join(docs, "doc_id")
+            .join(items.select("item_id", F.col("text").alias("item_text")).where("item_text is not null").distinct(), "item_id")
+            .select("doc_id", "item_id", "kind", "diagonal", "at", convert("doc_text").alias("a"), convert("item_text").alias("b"))
+        )
+
+        def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                runs = [longest_run(r.a, r.b, list(r.at), [i - r.diagonal for i in r.at], size[r.kind]) for r in pdf.itertuples()]
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "kind": pdf["kind"], "run": runs})
+
+        found = both.mapInPandas(extend, result)
+    return found.where(F.col("run") >= F.when(F.col("kind") == "wide", WIDE).otherwise(NARROW)).groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.plans.runtime import cut
+
 # Code points with the Unicode property Default_Ignorable_Code_Point, as ranges.
 IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -90,6 +92,20 @@ def normalised(column: Column | str, fold: bool = True) -> Column:
     return form(column)
 
 
+def look_alike_classes(values: DataFrame) -> DataFrame:
+    """field, key, look (a hash, the same for all that look alike), spellings (how many different strings look so): a row for each value.
+
+    ``values`` has columns field, key, value; nulls are left out, repeated rows count once, one key may hold several values.
+    """
+    spelled = cut(
+        values.where("value is not null and key is not null")
+        .select("field", "key", F.md5("value").alias("spelling"), F.md5(normalised("value", fold=False)).alias("look"))
+        .distinct()
+    )
+    sizes = spelled.groupBy("field", "look").agg(F.countDistinct("spelling").alias("spellings"))
+    return spelled.join(sizes, ["field", "look"]).select("field", "key", "look", "spellings").distinct()
+
+
 def look_alike_pairs(values: DataFrame) -> DataFrame:
     """Pairs of keys whose values look the same but are different strings.
 
@@ -97,11 +113,11 @@ def look_alike_pairs(values: DataFrame) -> DataFrame:
     and null keys match nothing; one key may hold several values. Only hashes are shuffled, never the texts, and
     groups with a single spelling are dropped before the join.
     """
-    spelled = (
+    spelled = cut(
         values.where("value is not null and key is not null")
         .select("field", "key", F.md5("value").alias("spelling"), F.md5(normalised("value", fold=False)).alias("look"))
         .distinct()
-    )
+    )  # two hashes for each value: the texts are read and normalised once
     mixed = (
         spelled.groupBy("field", "look")
         .agg(F.min("spelling").alias("least"), F.max("spelling").alias("most"))
