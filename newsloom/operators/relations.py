@@ -23,18 +23,17 @@ def token_windows(docs: DataFrame, query_length: int = 0, longest: int = LONGEST
 def position_owners(windows: DataFrame) -> DataFrame:
     """id, pos, span: the window in which a token has most context: max of min(left, right) + 0.01 * length, the first of equals.
 
-    The windows of a text are gathered in its row; a position is only held against the windows that reach it, found from its
-    place, and nothing is shuffled by position. Windows need not have one length.
+    Only the windows are shuffled, by their text; a text's positions are unfolded and compared where its windows then are.
+    Score (in hundredths) and place of the window are one number, so that the comparison is a plain maximum.
     """
-    w = F.array_sort(F.collect_list(F.struct("start", "length", "span")))
-    rows = windows.groupBy("id").agg(w.alias("w"))
-    longest = F.array_max(F.transform("w", lambda x: x["start"] + x["length"]))
-    rows = rows.withColumn("at", F.sequence(F.array_min(F.transform("w", lambda x: x["start"])), longest - 1))
-    p = rows.select("id", "w", F.explode("at").alias("pos"))
-    reach = F.filter("w", lambda x: (x["start"] <= F.col("pos")) & (F.col("pos") < x["start"] + x["length"]))
-    score = lambda x: F.least(F.col("pos") - x["start"], x["start"] + x["length"] - 1 - F.col("pos")) + 0.01 * x["length"]
-    best = F.array_max(F.transform(reach, lambda x: F.struct(score(x).alias("s"), (-x["span"]).alias("t"))))
-    return p.select("id", "pos", (-best["t"]).alias("span")).where("span is not null")
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few windows unfold to many positions
+    p = windows.select("id", "span", "start", "length").repartition(n, "id")
+    p = p.select("id", "span", "start", "length", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("pos"))
+    left, right = F.col("pos") - F.col("start"), F.col("start") + F.col("length") - 1 - F.col("pos")
+    hundredths = F.least(left, right).cast("long") * 100 + F.col("length")
+    most = (1 << 31) - 1
+    best = p.groupBy("id", "pos").agg(F.max(hundredths * (1 << 31) + (F.lit(most) - F.col("span"))).alias("best"))
+    return best.select("id", "pos", (F.lit(most) - F.pmod("best", F.lit(1 << 31))).cast("int").alias("span"))
 
 
 def best_positions(logits: DataFrame, n: int = N_BEST) -> DataFrame:
