@@ -151,6 +151,13 @@ def tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def words_of(x: Column | str) -> Column:
+    """Words of scripts with blanks, and pairs of neighbouring characters of Han runs (one character where it stands alone)."""
+    runs = F.regexp_extract_all(F.lower(_c(x)), F.lit(r"(\p{IsHan}+|[\p{L}\p{N}_&&[^\p{IsHan}]]+)"), F.lit(1))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}{2,}$"), pairs(r)).otherwise(F.array(r))))
+
+
 def ngrams(words: Column | str, n: int) -> Column:
     """Distinct n-grams of an array; fewer than n words give none."""
     w = _c(words)

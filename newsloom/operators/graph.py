@@ -94,15 +94,39 @@ def name_or_form(label: Column | str, form: Column | str) -> Column:
     return F.coalesce(F.nullif(label if not isinstance(label, str) else F.col(label), F.lit("")), form if not isinstance(form, str) else F.col(form))
 
 
+def base_items(items: DataFrame) -> DataFrame:
+    """eid, name, etype, summary, website of knowledge-base items as JSON (eid, form, value).
+
+    The label names the item, or else the form it was met under; the type follows from the classes of P31, the website is the first
+    of P856. Items that can't be read have neither type nor website.
+    """
+    schema = "label string, description string, claims map<string, array<string>>"
+    rows = items.select("eid", "form", F.from_json("value", schema).alias("x"))
+    first = lambda p: F.get(F.try_element_at("x.claims", F.lit(p)), F.lit(0))
+    return rows.select(
+        "eid", name_or_form(F.col("x.label"), "form").alias("name"), entity_type(F.try_element_at("x.claims", F.lit("P31"))).alias("etype"),
+        F.col("x.description").alias("summary"), first("P856").alias("website"),
+    )
+
+
 def entity_documents(nodes: DataFrame, details: DataFrame, known: DataFrame, key: str = "eid") -> DataFrame:
     """Nodes not known yet, with the details' values over their own where these are not null."""
-    fresh = nodes.join(known.select(key).distinct(), key, "left_anti").dropDuplicates([key])
-    d = details.dropDuplicates([key]).select(key, *[F.col(c).alias(f"_d_{c}") for c in details.columns if c != key])
+    fresh = _one_each(nodes.join(known.select(key).distinct(), key, "left_anti"), key)
+    d = _one_each(details, key).select(key, *[F.col(c).alias(f"_d_{c}") for c in details.columns if c != key])
     columns = list(dict.fromkeys([*nodes.columns, *details.columns]))
     pick = lambda c: F.coalesce(*[F.col(x) for x in ([f"_d_{c}"] if c in details.columns else []) + ([c] if c in nodes.columns else [])])
     return fresh.join(d, key, "left").select(key, *[pick(c).alias(c) for c in columns if c != key])
 
 
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key: the least by its other columns, in their order, that can be ordered."""
+    rest = [c for c in rows.columns if c != key]
+    order = [F.to_json(F.struct(c)) if "map" in rows.schema[c].dataType.simpleString() else F.col(c) for c in rest]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
 def relations_between(claims: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, property, label) of the properties that link two items; claims (src, rel, dst), labels (rel, label)."""
     return claims.select("src", "dst", "rel").distinct().join(labels.select("rel", "label").distinct(), "rel").select("src", "dst", "rel", "label")

@@ -46,10 +46,22 @@ def positional_split(rows: DataFrame, group: Sequence[str], order: Sequence[str]
     return rows.withColumn("part", F.when(n <= F.floor(F.count("*").over(w) * share), "head").otherwise("tail"))
 
 
-def sample_rows(rows: DataFrame, n: int, keep: int, condition: Column, seed: int = 7) -> DataFrame:
-    """Of ``n`` rows drawn by seed the first ``keep`` that meet the condition (a sampling operator; the draw is a top-k)."""
-    drawn = rows.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n)
-    return drawn.where(condition).orderBy("_r").limit(keep).drop("_r")
+def sample_rows(rows: DataFrame, n: int, keep: int, condition: Column, seed: int = 7, key: str | None = None) -> DataFrame:
+    """Of ``n`` rows drawn by seed the first ``keep`` that meet the condition (a sampling operator; the draw is a top-k).
+
+    Rows are drawn by the MD5 of the seed and ``key`` (the first column by default), so the draw is the same in any partitioning.
+    """
+    by = key or rows.columns[0]
+    drawn = rows.withColumn("_r", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string")))).orderBy("_r", by).limit(n)
+    return drawn.where(condition).orderBy("_r", by).limit(keep).drop("_r")
+
+
+def oversampled(rows: DataFrame, group: Sequence[str], order: str, tag: str) -> DataFrame:
+    """The rows, and for each row of a group from its first wrong one (tag 0) on the group's first right one (tag 1) once more."""
+    w = Window.partitionBy(*group)
+    marked = rows.withColumns({"_wrong": F.max((F.col(tag) == 0).cast("int")).over(w.orderBy(order)), "_right": F.min(F.when(F.col(tag) == 1, F.col(order))).over(w)})
+    again = marked.where("_wrong = 1 and _right is not null").select(*group, F.col("_right").alias(order), F.lit(1).alias(tag))
+    return marked.select(*group, order, tag).unionByName(again)
 
 
 def standardised(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

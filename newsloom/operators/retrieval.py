@@ -46,11 +46,24 @@ def with_fallback(tables: Sequence[DataFrame], key: str) -> DataFrame:
     return rows.groupBy(key).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in columns])
 
 
-def matching(rows: DataFrame, key: str, field: str, query: str, size: int = 10) -> DataFrame:
-    """Rows that share a token with the query, most shared distinct tokens first, then by key: the first ``size`` (a top-k report)."""
-    wanted = F.array_distinct(T.tokens(F.lit(query)))
-    score = F.size(F.array_intersect(F.array_distinct(T.tokens(field)), wanted))
-    return rows.select(key, field, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(size)
+def matching(rows: DataFrame, key: str, field: str, query: str, size: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Rows that share a word with the query by their relevance (BM25), then by key: the first ``size`` (a top-k report).
+
+    Numbers of rows, mean length and the rows that hold each word of the query come from one aggregate of a row; nothing else is
+    shuffled, and each partition keeps its own best. Rows without text count as rows of no words; a query without words finds nothing.
+    """
+    asked = [r.w for r in rows.sparkSession.range(1).select(F.explode(F.array_sort(F.array_distinct(T.words_of(F.lit(query))))).alias("w")).collect()]  # the query's words
+    if not asked:
+        return rows.select(key, field, F.lit(0.0).alias("score")).limit(0)
+    words = rows.withColumn("_w", F.coalesce(T.words_of(field), F.array().cast("array<string>")))
+    times = lambda q: F.size(F.filter("_w", lambda x: x == F.lit(q)))
+    counted = words.select(key, field, F.size("_w").alias("_l"), F.array(*map(times, asked)).alias("_tf"))
+    whole = counted.agg(F.count("*").alias("_n"), F.avg("_l").alias("_mean"), F.array(*[F.count(F.when(F.col("_tf")[i] > 0, 1)) for i in range(len(asked))]).alias("_df"))
+    idf = lambda df: F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
+    weight = lambda tf, df: idf(df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_l") / F.col("_mean")))
+    score = F.aggregate(F.zip_with("_tf", "_df", weight), F.lit(0.0), lambda s, x: s + x)
+    found = counted.where(F.exists("_tf", lambda x: x > 0)).crossJoin(F.broadcast(whole))  # one row
+    return found.select(key, field, score.alias("score")).orderBy(F.desc("score"), key).limit(size)
 
 
 def with_phrase(rows: DataFrame, field: str, phrase: str) -> DataFrame:

@@ -39,11 +39,7 @@ def sentences_of(title: Column | str, body: Column | str) -> Column:
     return F.concat(F.array(F.coalesce(t, F.lit(""))), F.coalesce(parts, F.array().cast("array<string>")))
 
 
-def words_of(text: Column | str) -> Column:
-    """Words of scripts with blanks, and pairs of neighbouring characters of Han runs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{IsHan}+|[\p{L}\p{N}_&&[^\p{IsHan}]]+)"), F.lit(1))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^\p{IsHan}{2,}$"), pairs(r)).otherwise(F.array(r))))
+words_of = T.words_of
 
 
 def content_words(words: Column | str, stop_words: DataFrame | None = None, tags: tuple[str, ...] = CONTENT_TAGS) -> Column:

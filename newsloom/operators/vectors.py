@@ -17,7 +17,7 @@ from newsloom.functions import text as T
 
 def document_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term once each (a word counts once per document, as the segmenter keeps a word once)."""
-    return docs.select(key, F.explode(F.array_distinct(T.tokens(text))).alias("term"))
+    return docs.select(key, F.explode(F.array_distinct(T.words_of(text))).alias("term"))
 
 
 def document_frequency(terms: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators import graph, mentions as M, ranking, relations as R, retrieval
+from newsloom.plans.text_queries import words_sql
 from newsloom.plans.runtime import table
 
 # A range of one article's life used as search arguments.
@@ -169,8 +170,12 @@ def search_article(s, d):
     return links.join(F.broadcast(top), "eid").select("aid", "eid")
 
 
+MATCHED = "the ferry left the harbor near the library 公共圖書館開放"
+
+
 def search_match(s, d):
-    return retrieval.matching(table(s, d, "documents"), "doc_id", "text", "the ferry left the harbor at 7 p.m.").select("doc_id", "score")
+    found = retrieval.matching(table(s, d, "documents"), "doc_id", "text", MATCHED)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 def search_phrase(s, d):
@@ -302,10 +307,7 @@ def first_form(s, d):
 def oversampled(s, d):
     """Training rows in groups of form and place: the right candidate again before each row after the first wrong one."""
     t = table(s, d, "el_training").where("form is not null and token is not null and tag is not null").select("form", "token", "sample_id", "tag")
-    w = Window.partitionBy("form", "token").orderBy("sample_id")
-    rows = t.withColumn("wrong", F.sum((F.col("tag") == 0).cast("int")).over(w)).withColumn("right", F.min(F.when(F.col("tag") == 1, F.col("sample_id"))).over(Window.partitionBy("form", "token")))
-    again = rows.where("wrong >= 1 and `right` is not null").select("form", "token", F.col("right").alias("sample_id"), F.lit(1).alias("tag"))
-    return rows.select("form", "token", "sample_id", "tag").unionByName(again).groupBy("sample_id", "tag").agg(F.count("*").alias("n"))
+    return ranking.oversampled(t, ["form", "token"], "sample_id", "tag").groupBy("sample_id", "tag").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -388,9 +390,12 @@ SQL = {
     "search_alias_prefix": "select distinct form, seq, eid from aliases where starts_with(form, '大')",
     "search_article": """with l as (select distinct aid, wikiID as eid from mentions where aid is not null and wikiID is not null)
         select aid, eid from l where eid = (select eid from l group by eid order by count(*) desc, eid limit 1)""",
-    "search_match": r"""with q as (select list_distinct(regexp_extract_all(lower('the ferry left the harbor at 7 p.m.'), '[\p{L}\p{N}_]+')) as q)
-        select doc_id, score from (select doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), q))::int as score from documents, q)
-        where score > 0 order by score desc, doc_id limit 10""",
+    "search_match": f"""with w as (select doc_id, coalesce({words_sql("text")}, []) as w from documents),
+        q as (select unnest(list_distinct({words_sql(f"'{MATCHED}'")})) as q), n as (select count(*) as n, avg(len(w)) as mean from w),
+        tf as (select doc_id, len(w) as l, q, len(list_filter(w, lambda x: x = q)) as tf from w, q),
+        df as (select q, count(*) as df from tf where tf > 0 group by q)
+        select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) as score
+        from tf join df using (q), n where tf > 0 group by doc_id order by score desc, doc_id limit 10""",
     "search_phrase": "select doc_id from documents where contains(text, '名單尚未對外公開')",
     "search_by_time": """select event_id, theme from (select strftime(pub_time, '%Y-%m-%d') || lpad(doc_id::varchar, greatest(10, length(doc_id::varchar))::int, '0') as event_id, theme from documents where pub_time is not null)
         where starts_with(event_id, '2020-11') order by event_id limit 10000""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators import ranking, summaries as S, traits, vectors as V
 from newsloom.plans.runtime import spread, table
+from newsloom.plans.text_queries import words_sql
 from newsloom.sources import pages as P
 from newsloom.sources import sinks
 from newsloom.streaming import incremental as I
@@ -32,10 +33,10 @@ def tfidf_pivoted(s, d):
 
 
 def term_cosine(s, d):
-    """Cosine of the first member of each source with the rest of its source by shared terms of its headline words."""
+    """Cosine of the entities whose number is divisible by 20 with all others by shared words of their summaries."""
     docs = table(s, d, "entities").where("summary is not null").select("eid", "summary")
     w = V.unit(V.tfidf(V.document_terms(docs, "eid", "summary"), "eid"), "eid")
-    q = w.where(F.substring("eid", -2, 2) == "00")
+    q = w.where(F.regexp_extract("eid", "[0-9]+$", 0).try_cast("long") % 20 == 0)
     return V.term_similarity(q, w, "eid").where("cosine > 0.05").select("query", "eid", F.round("cosine", 5).alias("cosine"))
 
 
@@ -223,7 +224,7 @@ QUERIES = {
     )
 }
 
-_TERMS = r"(select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) as term from documents where text is not null)"
+_TERMS = f"(select doc_id, unnest(list_distinct({words_sql('text')})) as term from documents where text is not null)"
 _IDF = f"t as {_TERMS}, n as (select count(distinct doc_id) as n from t), w as (select t.doc_id, t.term, log2((select n from n) / df) as weight from t join (select term, count(*) as df from t group by term) using (term) where df < (select n from n))"
 _WORDS = r"""(select aid as event_id, sidx as pos, sentence, list_filter(regexp_split_to_array(sentence, '[^\p{L}\p{N}]+'), lambda x: x <> '') as words from
     (select aid, sidx, min(sentence) as sentence from tag_sequences where sentence is not null group by aid, sidx))"""
@@ -239,10 +240,10 @@ SQL = {
     "tfidf": f"with {_IDF} select doc_id, count(*) as terms, round(sum(weight), 4) as weight from w group by doc_id",
     "tfidf_pivoted": f"""with {_IDF}, l as (select doc_id, sqrt(sum(weight * weight)) as n from w group by doc_id)
         select doc_id, round(sum(weight / (0.9::double * 10 + 0.1::double * n)), 4) as weight from w join l using (doc_id) group by doc_id""",
-    "term_cosine": r"""with t as (select eid, unnest(list_distinct(regexp_extract_all(lower(summary), '[\p{L}\p{N}_]+'))) as term from entities where summary is not null),
+    "term_cosine": f"""with t as (select eid, unnest(list_distinct({words_sql('summary')})) as term from entities where summary is not null),
         n as (select count(distinct eid) as n from t), w as (select eid, term, log2((select n from n) / df) as weight from t join (select term, count(*) as df from t group by term) using (term)),
         l as (select eid, sqrt(sum(weight * weight)) as n from w where weight > 0 group by eid), u as (select eid, term, weight / n as weight from w join l using (eid) where weight > 0)
-        select a.eid as query, b.eid, round(sum(a.weight * b.weight), 5) as cosine from u a join u b using (term) where a.eid <> b.eid and a.eid like '%00' group by 1, 2 having sum(a.weight * b.weight) > 0.05""",
+        select a.eid as query, b.eid, round(sum(a.weight * b.weight), 5) as cosine from u a join u b using (term) where a.eid <> b.eid and try_cast(regexp_extract(a.eid, '[0-9]+$') as bigint) % 20 = 0 group by 1, 2 having sum(a.weight * b.weight) > 0.05""",
     "mean_similarity": """with e as (select vec_id, label, embedding::double[] as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from e where list_dot_product(v, v) > 0)
         select a.vec_id, a.label, round(avg(list_dot_product(a.u, b.u)), 5) as similarity from u a join u b on a.label = b.label group by a.vec_id, a.label""",
     "nearest_vectors": """select query, vec_id, round(c, 5) as cosine, rank::int as rank from (select *, row_number() over (partition by query order by c desc, vec_id) as rank from

@@ -21,7 +21,7 @@ def _articles(s: SparkSession, d: str) -> DataFrame:
 
 def term_frequency(s: SparkSession, d: str) -> DataFrame:
     """Tokens of two or more characters with their frequency, the fifty most frequent."""
-    terms = table(s, d, "documents").select(F.explode(T.tokens("text")).alias("term")).where(F.length("term") >= 2)
+    terms = table(s, d, "documents").select(F.explode(T.words_of("text")).alias("term")).where(F.length("term") >= 2)
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
@@ -136,14 +136,12 @@ def theme_url(s, d):
 
 def theme_valid(s, d):
     """Themes that hold a known topic or are held by one; excluded ones left out."""
-    topics = F.array(*map(F.lit, ("政治新聞", "財經", "科技", "生活")))
-    ok = F.exists(topics, lambda t: t.contains(F.col("theme")) | F.col("theme").contains(t))
-    return _articles(s, d).where(ok & (F.col("theme") != "生活")).groupBy("theme").agg(F.count("*").alias("n"))
+    return P.known_themes(_articles(s, d), ["政治新聞", "財經", "科技", "生活"], ["生活"]).groupBy("theme").agg(F.count("*").alias("n"))
 
 
 def keyword_repair(s, d):
     """Articles without keywords get their theme as one."""
-    k = F.when(F.coalesce(F.size("keywords"), F.lit(0)) == 0, F.array("theme")).otherwise(F.col("keywords"))
+    k = P.keywords_or_theme()
     return _articles(s, d).where("theme is not null").select("id", F.array_join(k, "\t").alias("keywords")).distinct()
 
 
@@ -170,10 +168,10 @@ def text_records(s, d):
 
 
 def article_files(s, d):
-    """Articles written as file text and read back by key; all fields survive."""
-    rows = _articles(s, d).where("content is not null and instr(content, '\n') = 0").dropDuplicates(["id"])
+    """Articles written as file text and read back by key; the content survives, also over several lines."""
+    rows = _articles(s, d).where("content is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in ("url", "time", "title", "theme", "keywords", "content", "source")])
     back = A.parse_articles(A.as_text(rows).select(F.col("id").alias("path"), "value"))
-    return back.select("id", "corrupt", F.md5(F.trim("content")).alias("digest"))
+    return back.select("id", "corrupt", F.md5("content").alias("digest"))
 
 
 def page_read(s, d):
@@ -198,8 +196,19 @@ _TIME = r"""case when regexp_matches(time, '^\d{4}/\d{2}/\d{2} \d{2}:\d{2}$') th
     when regexp_matches(time, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$') then time || ':00'
     when regexp_matches(time, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$') then time end"""
 
+
+
+def words_sql(text: str) -> str:
+    """The words of ``T.words_of`` in SQL, those of Han runs last."""
+    pairs = "list_transform(range(1, greatest(length(r), 2)), lambda i: substr(r, i, 2))"
+    return (
+        f"list_concat(regexp_extract_all(regexp_replace(lower({text}), '\\p{{Han}}+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+'),"
+        f" flatten(list_transform(regexp_extract_all(lower({text}), '\\p{{Han}}+'), lambda r: {pairs})))"
+    )
+
+
 SQL = {
-    "term_frequency": r"""select term, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents)
+    "term_frequency": f"""select term, count(*) as n from (select unnest({words_sql("text")}) as term from documents)
         where length(term) >= 2 group by term order by n desc, term limit 50""",
     "article_latest": """select id, fetched_at, time, url, source from (select *, row_number() over (partition by id
         order by fetched_at desc nulls last, time desc nulls last, url desc nulls last, source desc nulls last) as k from articles where id is not null) where k = 1""",
@@ -242,7 +251,7 @@ SQL = {
         from el_training where form is not null""",
     "corpus_append": """select 1 as run, count(*) as rows, count(text) as texts from documents union all select 2, count(*), count(content) from articles""",
     "text_records": """select page_id, count(*) as n from (select page_id, unnest(string_split(content, chr(10))) as value from crawled_pages where content is not null) where length(value) + 1 > 5 group by page_id""",
-    "article_files": r"""select distinct id, false as corrupt, md5(trim(regexp_replace(content, '\s+$', ''), ' ')) as digest from articles where content is not null and instr(content, chr(10)) = 0""",
+    "article_files": r"""select distinct id, false as corrupt, md5(content) as digest from (select id, min(content) as content from articles where content is not null group by id)""",
     "page_read": r"""select page_id, sum(n)::bigint as n_blocks from (select page_id, len(list_filter(string_split(content, chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}\x0b\x1c-\x1f\x85]', '', 'g') <> '')) as n
         from (select distinct page_id, content from crawled_pages where content is not null)) group by page_id""",
 }

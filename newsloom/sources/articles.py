@@ -93,6 +93,26 @@ def long_lines(lines: DataFrame, longer_than: int = 5) -> DataFrame:
     return lines.where(F.length("value") + 1 > longer_than)
 
 
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """word: the lines of a text file, blanks at the ends removed, once each, empty ones left out."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+
+
+def number_table(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """row, values: a text file of numbers, a line a row, numbered from 0 in the file's order; cells that are none become null."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("row", "line"))
+    return lines.select("row", F.transform(F.split("line", separator), lambda x: F.trim(x).try_cast("double")).alias("values"))
+
+
+def sharded(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """The records of ``path`` with a number of shard before its ending (a.0.json, a.1.json ...), else of the file itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    stem, dot, end = path.rpartition(".")
+    shards = f"{stem}.[0-9]*{dot}{end}"
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.read.format(kind).load(shards if fs.globStatus(place(shards)) else path)
+
+
 def first_lines(files: DataFrame) -> DataFrame:
     """id = path, time from the second line, content from the last line that isn't empty; files without content are left out."""
     l = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")

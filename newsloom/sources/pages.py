@@ -103,15 +103,19 @@ def page_articles(parsed: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def links_of_day(parsed: DataFrame, day: str, key: str = "page_id") -> DataFrame:
-    """key, href of links whose address or text holds the day ``yyyy-MM-dd`` by month and day, once each, in page order."""
-    month_day = day[5:].replace("-", "[-/]?")
+    """key, href of links whose address or text holds the day ``yyyy-MM-dd``, with or without its year, once each, in page order.
+
+    The day stands alone: figures before or after it make another number of it.
+    """
+    year, month, date = day.split("-")
+    month_day = rf"(?<![0-9])(?:{year}[-/.]?)?{month}[-/.]?{date}(?![0-9])"
     l = parsed.select(key, F.posexplode("links").alias("pos", "l"))
     return l.where(F.concat_ws(" ", "l.href", "l.text").rlike(month_day)).groupBy(key, F.col("l.href").alias("href")).agg(F.min("pos").alias("pos"))
 
 
 def search_results(results: DataFrame, themes: list[str], since: int = 2019) -> DataFrame:
     """theme, url once each of stored search results of the years wanted and known themes."""
-    year = F.substring(T.normal_time("time"), 1, 4).try_cast("int") if hasattr(F.col("x"), "try_cast") else F.substring(T.normal_time("time"), 1, 4).cast("int")
+    year = F.substring(T.normal_time("time"), 1, 4).try_cast("int")
     return results.where((year >= since) & F.col("theme").isin(*themes)).select("theme", "url").distinct()
 
 
@@ -120,6 +124,22 @@ def still_to_fetch(wanted: DataFrame, done: DataFrame, key: str = "url") -> Data
     return wanted.select(key).where(F.col(key).isNotNull()).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
+def known_themes(rows: DataFrame, topics: list[str], without: list[str], theme: str = "theme") -> DataFrame:
+    """Rows whose theme holds a known topic or is held by one; the ones left out and null themes have no row."""
+    ok = F.exists(F.array(*map(F.lit, topics)), lambda t: t.contains(F.col(theme)) | F.col(theme).contains(t)) if topics else F.lit(False)
+    return rows.where(ok & ~F.col(theme).isin(*without)) if without else rows.where(ok)
+
+
+def keywords_or_theme(keywords: str = "keywords", theme: str = "theme"):
+    """The keywords, or the theme as the only one where there are none."""
+    return F.when(F.coalesce(F.size(keywords), F.lit(0)) <= 0, F.array(theme)).otherwise(F.col(keywords))
+
+
+def title_list(lines: DataFrame) -> DataFrame:
+    """title once each of lines (value), blanks at the ends removed, empty ones left out."""
+    return lines.select(F.trim("value").alias("title")).where("title <> ''").distinct()
+
+
 def keywords_of(articles: DataFrame) -> DataFrame:
     """keyword once each, blanks removed, empty ones left out."""
     k = articles.select(F.explode("keywords").alias("k")).select(F.trim("k").alias("keyword"))

@@ -57,6 +57,11 @@ def cluster_stream(docs: DataFrame, key: str, order: str, theta: float = 0.1, bl
     return flat.groupBy(block).applyInPandasWithState(run, f"{block} string, {key} {kind}, cluster int", "state string", "append", "NoTimeout")
 
 
+def run_available(stream: DataFrame, each, checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over what has arrived and ends: ``each`` (rows, batch number) for every batch; ``checkpoint`` remembers where it ended."""
+    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def resumed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows not processed yet."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
