@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import entity_queries, event_queries, scoring_queries, text_queries
+from newsloom.plans import entity_queries, event_queries, scoring_queries, source_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (text_queries, entity_queries, event_queries, scoring_queries)
+_PARTS = (text_queries, entity_queries, event_queries, scoring_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

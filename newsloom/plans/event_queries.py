@@ -52,17 +52,15 @@ def nearest_vectors(s, d):
 
 
 def _weighted(s, d) -> DataFrame:
-    """Articles with the weights of their title's characters pairs as a map."""
-    a = table(s, d, "articles").where("title is not null and time is not null").select("id", "title", T.normal_time("time").alias("time")).where("time is not null")
-    once = a.groupBy("id").agg(F.min("title").alias("title"), F.min("time").alias("time"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("title") - 1), lambda i: F.substring(F.col("title"), i, F.lit(2)))
-    t = once.where("length(title) > 1").select("id", "time", F.explode(F.array_distinct(grams)).alias("term"))
-    w = V.tfidf(t.select("id", "term"), "id")
+    """Articles with the weights of their content's words as a map."""
+    a = table(s, d, "articles").where("content is not null and time is not null").select("id", "content", T.normal_time("time").alias("time")).where("time is not null")
+    once = a.groupBy("id").agg(F.min("content").alias("content"), F.min("time").alias("time"))
+    w = V.tfidf(V.document_terms(once.select("id", T.clean_for_clusters("content").alias("content")), "id", "content"), "id")
     return w.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 6).alias("weight"))))).alias("terms")).join(once.select("id", "time"), "id")
 
 
 def single_pass(s, d):
-    """Titles of one day clustered in the order of (time, id); a day is a block."""
+    """Contents of one day clustered in the order of (time, id); a day is a block."""
     w = _weighted(s, d).withColumn("day", F.substring("time", 1, 10))
     return V.single_pass(w, "id", "time", 0.1, "day")
 
