@@ -383,6 +383,13 @@ SQL = {
         p as (select id, span, start, len, unnest(range(start, start + len)) as pos from w),
         o as (select id, pos, arg_max(span, (least(pos - start, start + len - 1 - pos) + 0.01::double * len, -span)) as span from p group by id, pos)
         select id, span::int as span, count(*) as n, min(pos)::int as first from o group by id, span""",
+    "answers": """with e as (select vec_id as id, unnest([1, 2]) as side, unnest([embedding[1:32], embedding[33:64]]) as v from embeddings),
+        p as (select id, side, unnest(range(len(v))) as pos, round(unnest(v)::double, 4) as value from e),
+        b as (select id, side, pos, value from p qualify row_number() over (partition by id, side order by value desc, pos) <= 5),
+        s as (select a.id, a.pos as s, z.pos as e, a.value + z.value as score, a.pos || '-' || z.pos % 7 as text from b a join b z on a.id = z.id and a.side = 1 and z.side = 2 and z.pos - a.pos + 1 between 1 and 30),
+        o as (select id, text, score, s, e from s qualify row_number() over (partition by id, text order by score desc, s, e) = 1),
+        t as (select id, text, score from o qualify row_number() over (partition by id order by score desc, s, e, text) = 1)
+        select vec_id as id, case when text is null or 0.2::double - score > 0 then '' else text end as text from embeddings left join t on t.id = vec_id""",
     "best_positions": """select id, pos::int as pos, rank::int as rank from (select id, pos, row_number() over (partition by id order by value desc, pos) as rank from
         (select vec_id as id, unnest(embedding) as value, generate_subscripts(embedding, 1) - 1 as pos from embeddings)) where rank <= 5""",
     "search_exact": "select eid, etype, name from entities where eid = 'Q7048174' union all select eid, etype, name from entities where name = '田昀思'",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.operators import retrieval, scoring as C, vectors as V
 from newsloom.plans import pipelines
+from newsloom.plans.entity_queries import _spans_sql
 from newsloom.plans.event_queries import _sentences, _themes
 from newsloom.plans.runtime import table
 
@@ -37,7 +38,7 @@ def title_and_sentences(s, d):
 
 def article_words(s, d):
     a = table(s, d, "articles").where("title is not null").select("id", F.explode(C.words_of("title")).alias("word"))
-    return a.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return a.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def content_words(s, d):
@@ -118,7 +119,22 @@ QUERIES = {
 
 _TOKENS = r"(select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as words from documents where text is not null)"
 
+# Spans that can be names, and with the best candidate of their form by the overlap of sentence and description.
+_NAMED = f"""m as (select aid, sidx, eidx, form, type, start from ({_spans_sql("true")})), one as (select aid, substr(form, 1, 1) as form, min((sidx, start, eidx)) as first from m where length(form) >= 3 group by 1, 2),
+    names as (select m.* from m left join one using (aid, form) where length(form) >= 3 or (length(form) = 2 and not regexp_matches(form, '^[A-Za-z]+$') and substr(form, 2, 1) not in ('姓', '男', '女', '某', '嫌', '犯'))
+    or (length(form) = 1 and one.first < (m.sidx, m.start, m.eidx)))"""
+_SET = "list_distinct(list_filter(string_split(coalesce({}, ''), ''), lambda x: x <> ''))"
+_LINKED = f"""with {_NAMED}, a as (select distinct form, seq, eid, formal, exrest from aliases where form is not null and eid <> ''),
+    t as (select aid, sidx, min(sentence) as token from tag_sequences group by aid, sidx),
+    c as (select n.aid, n.sidx, n.eidx, n.form, a.seq, a.eid, {_SET.format("token")} as x, {_SET.format("exrest")} as y from names n join a using (form) join t using (aid, sidx)),
+    s as (select *, case when len(x) > 0 and len(y) > 0 then len(list_intersect(x, y)) / sqrt(len(x)::double * len(y)) else 0.0 end as score from c),
+    b as (select aid, sidx, eidx, form, arg_max(eid, (score, -seq, eid)) as eid, max(score) as score, count(*) as n from s group by all),
+    l as (select n.aid, n.sidx, n.eidx, n.form, b.eid as wikiID from names n left join (select * from b where n = 1 or score > 0) b using (aid, sidx, eidx, form))"""
+
 SQL = {
+    "graph_linked": f"{_LINKED} select * from l",
+    "graph_edges": f"""{_LINKED}, d as (select distinct aid, sidx, eidx, form, wikiID from l where wikiID is not null)
+        select distinct a.wikiID as src, 'with' as rel, b.wikiID as dst from d a join d b on a.aid = b.aid and a.sidx = b.sidx and (a.eidx, a.form, a.wikiID) < (b.eidx, b.form, b.wikiID) where a.wikiID <> b.wikiID""",
     "candidate_scores": """with t as (select sample_id, list_distinct(list_filter(string_split(coalesce(token, ''), ''), lambda x: x <> '')) as a, list_distinct(list_filter(string_split(coalesce(exrest, ''), ''), lambda x: x <> '')) as b from el_training)
         select sample_id, round(case when len(a) > 0 and len(b) > 0 then len(list_intersect(a, b)) / sqrt(len(a)::double * len(b)) else 0.0 end, 6) as score from t""",
     "sentence_scores": r"""with s as (select aid as event_id, sidx as pos, list_filter(regexp_split_to_array(sentence, '[^\p{L}\p{N}]+'), lambda x: x <> '') as words from
@@ -134,7 +150,7 @@ SQL = {
     "article_words": r"""with t as (select id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) as t from articles where title is not null),
         r as (select id, unnest(regexp_extract_all(t, '\p{Han}+|\P{Han}+')) as r from t),
         w as (select unnest(case when length(r) >= 2 and regexp_full_match(r, '\p{Han}+') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end) as word from r)
-        select word, count(*) as n from w group by word having count(*) > 1""",
+        select word, count(*) as n from w group by word""",
     "content_words": """with x as (select aid, sidx, unnest(min((sentence, tags))) from tag_sequences where sentence is not null and tags is not null group by aid, sidx),
         y as (select * from x y(aid, sidx, sentence, tags)), c as (select aid, sidx, tags, unnest(string_split(sentence, '')) as w, generate_subscripts(string_split(sentence, ''), 1) as i from y),
         l as (select aid, sidx, w, list(tags[i] order by i)[-1] as g from c group by aid, sidx, w), n as (select aid, sidx, count(*)::int as n from l where g > 0 and w <> ' ' group by aid, sidx)
