@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from newsloom.operators import graph, ranking, retrieval
@@ -40,7 +42,13 @@ def test_fallback_match_and_time(spark):
     assert retrieval.first_index_with([a, b], "key", "l").first().v == 3
     assert retrieval.time_prefix(2021, 3, 4) == "2021-03-04" and retrieval.time_prefix(2021, None, 4) == "2021"
     docs = spark.createDataFrame([(1, "red fish"), (2, "Red red"), (3, None), (4, "")], "id int, text string")
-    assert [(r.id, r.score) for r in retrieval.matching(docs, "id", "text", "red FISH").collect()] == [(1, 2), (2, 1)]
+    words, asked = {1: ["red", "fish"], 2: ["red", "red"], 3: [], 4: []}, ["red", "fish"]
+    mean = sum(map(len, words.values())) / 4
+    idf = {q: math.log(1 + (4 - n + 0.5) / (n + 0.5)) for q in asked for n in [sum(q in w for w in words.values())]}
+    bm25 = {i: sum(idf[q] * w.count(q) * 2.2 / (w.count(q) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for q in asked) for i, w in words.items()}
+    got = [(r.id, r.score) for r in retrieval.matching(docs, "id", "text", "red FISH").collect()]
+    assert [i for i, _ in got] == [1, 2] and all(abs(x - bm25[i]) < 1e-9 for i, x in got)
+    assert retrieval.matching(docs, "id", "text", "").count() == 0 and retrieval.matching(docs.limit(0), "id", "text", "red").count() == 0
     assert retrieval.by_properties(docs, {"text": None}).count() == 1
 
 
