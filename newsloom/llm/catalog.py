@@ -89,5 +89,17 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_BLANK = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
+
+SQL = {
+    "p6_found": rf"""with recursive p as (select sample_id, nullif(regexp_replace(lower(form), '{_BLANK}', '', 'g'), '') as f, nullif(regexp_replace(lower(token), '{_BLANK}', '', 'g'), '') as t from el_training),
+        e as (select distinct f, t from p where f is not null and t is not null), n as (select distinct a.f, b.f as g from e a join e b using (t)),
+        r as (select f, f as g from (select distinct f from p where f is not null) union select r.f, n.g from r join n on r.g = n.f),
+        m as (select f, min(g) as g from r group by f), k as (select t, min(g) as g from e join m using (f) group by t)
+        select sample_id, coalesce(m.g, k.g) as group_form from p left join m using (f) left join k on p.t = k.t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the one query that has any; the others are tested against brute force, exact round trips or held-out links."""
+    return dict(SQL)

@@ -37,6 +37,9 @@ def test_look_alike_pairs(spark):
         ("वह गया। फिर आया।", ["वह गया।", "फिर आया।"]),
         ("เขาไปแล้ว 35 คน ฝนตกหนัก", ["เขาไปแล้ว 35 คน", "ฝนตกหนัก"]),
         ("done.Dr. Wu came... then left", ["done.", "Dr. Wu came... then left"]),
+        ("He paid approx. nine euros. It was approx. Nine left.", ["He paid approx. nine euros.", "It was approx. Nine left."]),
+        ("We saw the grp. on Monday, then the grp. The rest of the men left.", ["We saw the grp. on Monday, then the grp.", "The rest of the men left."]),
+        ("We saw the grp. on Monday, then with Otto the grp. Otto left.", ["We saw the grp. on Monday, then with Otto the grp. Otto left."]),
         ("", []), ("  \n ", []), (None, []),
     ],
 )
