@@ -150,7 +150,7 @@ class _Laid:
         codes = _codes("".join(units))
         size = np.array([len(u) for u in units])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        unit = np.repeat(np.arange(len(units)), size)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), size)
         kinds = _of(_CLASS, codes)
         script = np.zeros(len(units), np.uint8)
         for k in range(len(_RANGES), 0, -1):
@@ -162,11 +162,21 @@ class _Laid:
         kept = np.ones(len(codes), bool)
         kept[1:] = ~(decimal[1:] & decimal[:-1] & (unit[1:] == unit[:-1]))
         self.size, self.script, self.unit, self.last = size, script, unit, start + size - 1
-        self.place = np.cumsum(kept) - 1  # of every character among those kept
+        self.place = np.cumsum(kept, dtype=np.int32) - 1  # of every character among those kept
         self.codes = np.where(decimal, _NINE, codes)[kept]
         self.at = np.flatnonzero(kept)
         self.inside = self.place[self.at] - self.place[start][unit[self.at]]  # place of every kept character in its unit
 
+    def backward(self) -> Iterator[np.ndarray]:
+        """``behind`` of all places, character by character."""
+        for k in range(ORDER):
+            c = np.zeros(len(self.codes), np.uint64)
+            c[k:] = self.codes[: len(c) - k]
+            c[self.inside < k] = 0
+            if k:
+                c[self.inside == k - 1] = _MARK
+            yield c
+
     def behind(self, at: np.ndarray) -> np.ndarray:
         """The characters that end at places among those kept, read backward, with a mark where the unit begins."""
         out = np.zeros((ORDER, len(at)), np.uint32)
@@ -287,18 +297,17 @@ def _counted(texts: list[str], codes: list[str], evidence: Evidence, sums: _Sums
     ends = np.zeros(len(laid.codes), np.int64)
     ends[laid.place[laid.last]] = 1
     used = np.flatnonzero(cuts + ends)
-    unit = laid.unit[laid.at[used]]
-    weight = cuts[used] * (WEIGHT // np.maximum(laid.size - 1, 1))[unit]
-    state, behind = laid.state[laid.at[used]], laid.behind(used)
-    of = np.where(own >= 0, own, common)[unit]
-    whole = _mixed(hashes[of], state)
-    for k in range(ORDER):
-        whole = _mixed(whole, behind[k])
-    order = np.argsort(whole)
+    unit, state = laid.unit[laid.at], laid.state[laid.at]
+    of = np.where(own >= 0, own, common)
+    whole = _mixed(hashes[of][unit], state)
+    for c in laid.backward():
+        whole = _mixed(whole, c)
+    order = used[np.argsort(whole[used])]
     whole = whole[order]
     first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-    pick = order[first]
-    sums.add(whole[first], number[of[pick]], state[pick], behind[:, pick], *[np.add.reduceat(x[order], first) for x in (ends[used], cuts[used], weight)])
+    pick, n = order[first], cuts[order]
+    weight = n * (WEIGHT // np.maximum(laid.size - 1, 1))[unit[order]]
+    sums.add(whole[first], number[of[unit[pick]]], state[pick], laid.behind(pick), *[np.add.reduceat(x, first) for x in (ends[order], n, weight)])
     firsts = np.flatnonzero(np.array(places) == 0)
     open_end = ~_of(_ENDS, laid.codes[laid.place[laid.last]])
     for i in firsts:
@@ -321,7 +330,8 @@ def end_counts(texts: DataFrame, contexts: DataFrame | None = None) -> DataFrame
     """what, label, key, level, head, yes, no, seen over all texts (columns text, lang).
 
     what c: contexts, by their hash and order, with the weights of ends and of cuts; h: beginnings of lines, at the ends of texts
-    and elsewhere; l: lengths of first lines (key), without an end mark and with one. ``contexts`` (column key): those that are looked up.
+    and elsewhere; l: lengths of first lines (key), without an end mark and with one. ``contexts`` (column key): those that are looked up, each with its
+    shorter ones.
     """
     sent = None
     if contexts is not None and contexts.count() <= BROADCAST_CONTEXTS:
@@ -337,19 +347,19 @@ def end_counts(texts: DataFrame, contexts: DataFrame | None = None) -> DataFrame
                 for number, some in ((number, slice(None)), _pooled(number, numbers)):
                     names = sorted(numbers, key=numbers.get)
                     keys = _context_keys(np.array([_label_hash(x) for x in names], np.uint64)[number], state[some], behind[:, some])
+                    pick = np.arange(keys.shape[1])
                     for k in range(ORDER):
-                        use = keys[k] != 0
-                        if sent is not None:
-                            known = sent.value
-                            use &= known[np.minimum(np.searchsorted(known, keys[k]), len(known) - 1)] == keys[k] if len(known) else False
-                        pick = np.flatnonzero(use)
-                        pick = pick[np.argsort(keys[k][pick])]
+                        pick = pick[keys[k][pick] != 0]
+                        if sent is not None and len(pick):  # what is looked up by a longer context is by its shorter ones, too
+                            known, mine = sent.value, keys[k][pick]
+                            pick = pick[known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine] if len(known) else pick[:0]
                         if not len(pick):
-                            continue
-                        key = keys[k][pick]
+                            break
+                        order = pick[np.argsort(keys[k][pick])]
+                        key = keys[k][order]
                         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                        e, c, w = (np.add.reduceat(x[some][pick], first) for x in (ends, cuts, weight))
-                        label = [names[i] for i in number[pick[first]]]
+                        e, c, w = (np.add.reduceat(x[some][order], first) for x in (ends, cuts, weight))
+                        label = np.array(names, object)[number[order[first]]]
                         yield pd.DataFrame({"what": "c", "label": label, "key": key[first], "level": k + 1, "head": None, "yes": e * WEIGHT, "no": w, "seen": e + c})
             rows = [("h", None, 0, 0, head[: k + 1], int(end) * n, int(not end) * n, n) for (head, end), n in heads.items() for k in range(len(head))]
             rows += [("l", label, step, 0, None, n * (not ended), n * ended, n) for (label, step, ended), n in lines.items()]
