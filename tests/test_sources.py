@@ -101,3 +101,38 @@ def test_versioned_table(spark, tmp_path):
     except ValueError:
         u.clear(sure=True)
     assert u.read().count() == 0
+
+
+def test_lists_tables_and_shards(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("a\n b \n\na\n", encoding="utf-8")
+    assert {r.word for r in A.word_list(spark, str(tmp_path / "words.txt")).collect()} == {"a", "b"}
+    (tmp_path / "numbers.csv").write_text("1, 2.5,x\n-3,,4\n", encoding="utf-8")
+    got = {r.row: r["values"] for r in A.number_table(spark, str(tmp_path / "numbers.csv")).collect()}
+    assert got == {0: [1.0, 2.5, None], 1: [-3.0, None, 4.0]}
+    (tmp_path / "r.json").write_text('{"k": 1}\n', encoding="utf-8")
+    assert [r.k for r in A.sharded(spark, str(tmp_path / "r.json")).collect()] == [1]
+    for i in range(2):
+        (tmp_path / f"r.{i}.json").write_text(f'{{"k": {i + 5}}}\n', encoding="utf-8")
+    assert sorted(r.k for r in A.sharded(spark, str(tmp_path / "r.json")).collect()) == [5, 6]
+
+
+def test_links_of_a_day_are_dates(spark):
+    rows = [("s", [(f"/a/{x}", "") for x in ("30101105", "20201105", "2020-11-05/x", "11051", "1105")] + [("/b", "on 11/05")])]
+    parsed = spark.createDataFrame(rows, "page_id string, links array<struct<href:string,text:string>>")
+    assert {r.href for r in P.links_of_day(parsed, "2020-11-05").collect()} == {"/a/20201105", "/a/2020-11-05/x", "/a/1105", "/b"}
+
+
+def test_themes_titles_and_items(spark):
+    from newsloom.operators import graph, ranking
+
+    t = spark.createDataFrame([("政治", None), ("政治新聞", ["k"]), ("生活", []), (None, None)], "theme string, keywords array<string>")
+    assert {r.theme for r in P.known_themes(t, ["政治新聞", "生活"], ["生活"]).collect()} == {"政治", "政治新聞"}
+    assert P.known_themes(t, [], []).count() == 0
+    assert [r.k for r in t.where("theme is not null").select(P.keywords_or_theme().alias("k")).collect()] == [["政治"], ["k"], ["生活"]]
+    assert {r.title for r in P.title_list(spark.createDataFrame([(" a ",), ("a",), ("",), (None,)], "value string")).collect()} == {"a"}
+    items = [("Q1", "f", '{"label": "L", "description": "d", "claims": {"P31": ["Q5"], "P856": ["w", "x"]}}'), ("Q2", "f", "{broken"), ("Q3", "f", None), ("Q4", "f", '{"label": "", "claims": {"P31": ["Q43229"]}}')]
+    got = {r.eid: (r.name, r.etype, r.summary, r.website) for r in graph.base_items(spark.createDataFrame(items, "eid string, form string, value string")).collect()}
+    assert got == {"Q1": ("L", "PER", "d", "w"), "Q2": ("f", None, None, None), "Q3": ("f", None, None, None), "Q4": ("f", "ORG", None, None)}
+    rows = spark.createDataFrame([("g", 1, 1), ("g", 2, 0), ("g", 3, 1), ("h", 4, 0)], "g string, n long, tag int")
+    assert sorted((r.n, r.tag) for r in ranking.oversampled(rows, ["g"], "n", "tag").collect()) == [(1, 1), (1, 1), (1, 1), (2, 0), (3, 1), (4, 0)]
+    assert ranking.sample_rows(rows, 3, 2, rows["tag"] >= 0, key="n").collect() == ranking.sample_rows(rows.repartition(3), 3, 2, rows["tag"] >= 0, key="n").collect()
