@@ -27,7 +27,7 @@ from newsloom.plans.runtime import spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The pattern of the vocabulary that splits a text before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's memory of solved pieces; it is emptied when full, which changes no result.
+#: Entries of a worker's memories of solved pieces and of pairs; they are emptied when full, which changes no result.
 MEMORY = 200_000
 
 
@@ -110,6 +110,8 @@ class Encoder:
                 before, left = left, self.parts[left][1]
             else:
                 before, right = right + 1, self.parts[right][0]
+        if len(self.apart) >= MEMORY:
+            self.apart.clear()
         self.apart[key] = answer
         return answer
 
