@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import near_duplicates as nd
 from newsloom.llm import splits
@@ -114,3 +115,19 @@ def test_pairs_just_similar_enough_beside_a_common_block(spark):
     want = {(keys[a], keys[b]) for a in range(len(keys)) for b in range(a + 1, len(keys)) if root[a] == root[b]}
     df = spark.createDataFrame(rows, "key string, value string, token int")
     assert {(r.id_a, r.id_b) for r in nd.grouped_pairs(df).collect()} == want and len(want) == 200
+
+
+def test_texts_and_buckets_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    word = lambda i: "".join(chr(0x4E00 + (i * 977 + 31 * j) % 9000) for j in range(40))
+    spark.createDataFrame([(str(i), word(i)) for i in range(200)], "key string, value string").write.parquet(str(tmp_path / "rows"))
+    texts = nd.distinct_texts(spark.read.parquet(str(tmp_path / "rows")))[1]
+    links = texts.select(F.col("text_id").alias("u"), F.col("text_id").alias("v"))
+    buckets = nd.combination_buckets(texts, nd._divided(texts, nd.frequent_tokens(texts, 0))[1], 0.6)
+    for made in (nd.similar_links(texts, links), nd.shared_buckets(buckets)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert nd.similar_links(texts, links).count() == 200
+
+
+def test_frequent_tokens_come_packed(spark):
+    tokens = spark.range(-500, 500).selectExpr("id as token").repartition(3)
+    assert sorted(nd._packed(tokens)) == list(range(-500, 500)) and len(nd._packed(tokens.limit(0))) == 0
