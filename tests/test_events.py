@@ -57,6 +57,14 @@ def test_single_pass_in_blocks_and_as_a_stream(spark, tmp_path):
     assert got == batch
 
 
+def test_term_weights_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    spark.createDataFrame([(i, f"common w{i} x{i // 2}") for i in range(50)], "id long, text string").write.parquet(str(tmp_path / "docs"))
+    w = V.tfidf(V.document_terms(spark.read.parquet(str(tmp_path / "docs")), "id", "text"), "id")
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert w.count() == 100
+
+
 def test_stream_counts_equal_the_batch(spark, tmp_path):
     rows = [(i, f"2024-01-0{1 + i % 3} 0{i % 9}:00:00", i % 4, "ab"[i % 2], float(i)) for i in range(60)] + [(99, None, 1, "a", 1.0)]
     df = spark.createDataFrame(rows, "event_id int, ts string, user_id int, event_type string, value double").withColumn("ts", F.to_timestamp_ntz("ts", F.lit("yyyy-MM-dd HH:mm:ss")))
