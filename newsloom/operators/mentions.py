@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.plans.runtime import shuffled
 
 # Second characters that make a two-character form no name.
 NO_NAME_ENDS = ("姓", "男", "女", "某", "嫌", "犯")
@@ -160,8 +161,12 @@ def question_answers(pairs: DataFrame, sentences: DataFrame, answers: DataFrame)
 
 
 def tag_accuracy(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of equal tags over positions of both, and of an all-O guess."""
-    g = gold.select(*keys, F.posexplode("tags").alias("pos", "g"))
-    p = predicted.select(*keys, F.posexplode("tags").alias("pos", "p"))
-    both = g.join(p, [*keys, "pos"])
+    """Share of equal tags over positions of both, and of an all-O guess.
+
+    Rows are joined as arrays and divided into positions where they are counted, so no position is shuffled or sent to the driver.
+    """
+    g = gold.where("tags is not null").select(*keys, F.col("tags").alias("_g"))
+    p = predicted.where("tags is not null").select(*keys, F.col("tags").alias("_p"))
+    pairs = F.slice(F.arrays_zip(F.col("_g").alias("g"), F.col("_p").alias("p")), F.lit(1), F.least(F.size("_g"), F.size("_p")))
+    both = g.join(shuffled(p), keys).select(F.inline(pairs))
     return both.agg(F.count("*").alias("n"), F.round(F.avg((F.col("g") == F.col("p")).cast("double")), 6).alias("accuracy"), F.round(F.avg((F.col("g") == 0).cast("double")), 6).alias("all_o"))

@@ -98,3 +98,15 @@ def test_answers_equal_a_plain_decoding(spark):
             assert i not in best
     nulls = spark.createDataFrame([(i, 5.0) for i in range(20)], "id int, null_score double")
     assert {r.text for r in R.decide(R.n_best(spans, texts), nulls).collect()} == {""}
+
+
+def test_accuracy_of_tags_without_a_broadcast(spark, tmp_path):
+    gold = [("a", 0, "", [0, 1, 2, 0]), ("a", 1, "", [3, None]), ("b", 0, "", []), ("c", 0, "", None), ("d", 0, "", [0]), (None, 0, "", [0])]
+    guess = [("a", 0, "", [0, 2, 2]), ("a", 1, "", [3, 4, 4]), ("b", 0, "", [1]), ("c", 0, "", [1]), ("e", 0, "", [0]), ("a", 0, "", [1])]
+    for name, rows in (("g", gold), ("p", guess)):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name))
+    g, p = (spark.read.parquet(str(tmp_path / name)) for name in "gp")
+    made = M.tag_accuracy(g, p, ["aid", "sidx"])
+    assert tuple(made.first()) == (6, 0.6, 0.4)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert tuple(M.tag_accuracy(g.limit(0), p, ["aid", "sidx"]).first()) == (0, None, None)
