@@ -84,6 +84,15 @@ def test_events_of_clusters(spark):
     assert V.article_events(e).count() == 3
 
 
+def test_times_of_articles_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    rows = [(f"a{i}", f"2021-02-{1 + i % 28:02d} 00:00:00") for i in range(100)]
+    spark.createDataFrame(rows, "id string, time string").withColumn("time", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd HH:mm:ss"))).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    e = V.cluster_events(t.select(F.lit("b").alias("block"), "id", F.lit(0).alias("cluster")), t, "id")
+    assert "BroadcastHashJoin" not in V.article_events(e)._jdf.queryExecution().executedPlan().toString()
+    assert V.article_events(e).count() == 100
+
+
 def test_choice_of_sentences():
     rows = [(0, "A", list("abcdefgh"), 3.0), (1, "B", list("abcdefgz"), 2.0), (2, "C", list("xaby"), 1.0), (3, "D", list("qrs"), 0.5), (4, "E", list("ybc"), 0.4)]
     assert S.choose(rows) == ["A", "C", "E"]
