@@ -9,7 +9,8 @@ that it explains, against those typed as the name is. Each form is attached to t
 maximum posterior; entities named in the same article weigh more, and forms without a clearly best entity stay unlinked.
 
 Typed forms are resolved once per distinct form, by an equi-join on channel keys: both sides write keys, nothing is compared
-with everything. The learned tables are bounded by alphabets and lists of names, not by the number of mentions.
+with everything. Foldings of characters are sent to the workers; so are the other learned rewritings up to LEARNED, and beyond
+that each name and form gets those that can matter to it by a join, with the same result.
 
 Defined results: null and empty forms, and forms the alias table knows to be unlinkable, get no row; repeated rows count once;
 empty tables give no rows. Null names of entities are skipped; columns other than those named are ignored.
@@ -20,14 +21,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.textform import one_form
-from newsloom.plans.runtime import cut, spread
+from newsloom.plans.runtime import cut, shuffled, spread
 
 #: Natural logarithms of how likely a channel is, relative to typing the name as it is: what counting starts from, as if STRENGTH
 #: linked forms had shown it. Of several channels that explain a form the likeliest by these is counted.
@@ -38,8 +39,10 @@ CHANNEL = {
 }
 #: Channels that leave no doubt where only one entity is left.
 PLAIN = ("exact", "seen", "title", "bag", "tail", "roman", "nick", "middle")
-#: Learned rewritings that may come to the driver; beyond that more entities must have shown one.
+#: Learned rewritings that may come to the driver; if there are more, they are joined to names and forms instead.
 LEARNED = 200_000
+#: Characters of a title, at most.
+TITLE = 5
 #: Added where the entity is named otherwise in the same article.
 SAME_ARTICLE = 4.0
 #: A form is linked if its best entity has at least this share of the posterior of all its candidates.
@@ -60,19 +63,21 @@ def _han_only(text: str) -> bool:
 class Model:
     """What was learned: character folding, romanisation, titles, nicknames, endings and abbreviations."""
 
-    def __init__(self, counts: list[tuple[str, str, str, int]]):
+    def __init__(self, counts: Iterable[tuple[str, str, str, int]], fold: dict[str, str] | None = None):
         by: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         for what, a, b, n in counts:
             by[what][a][b] += n
-        self.fold = {a: max(c, key=lambda x: (c[x], x)) for a, c in by["fold"].items()}
+        self.fold = {a: max(c, key=lambda x: (c[x], x)) for a, c in by["fold"].items()} if fold is None else fold
         self.given = self._readings(by["given"])
         self.family = self._readings(by["family"])
-        self.titles = sorted({a for a in by["title"]}, key=len, reverse=True)
+        self.titles = sorted(by["title"], key=lambda t: (-len(t), t))
         self.nick = {a: set(c) for a, c in by["nick"].items()}
         self.full: dict[str, set[str]] = defaultdict(set)
         for a, nicks in self.nick.items():
             for b in nicks:
                 self.full[b].add(a)
+        for b, c in by["full"].items():
+            self.full[b].update(c)
         self.tails = {a: set(c) for a, c in by["tail"].items()}
         self.words = {a: max(c, key=lambda x: (c[x], x)) for a, c in by["word"].items()}
         self.types = sorted(by["type"], key=len, reverse=True)
@@ -248,7 +253,7 @@ def _lessons(model: Model, form: str, etype: str, name: str) -> Iterator[tuple[s
     if _han_only(q):
         if _han_only(p):
             if etype == "PER":
-                if len(q) >= 3 and q in p and len(p) - len(q) <= 5:
+                if len(q) >= 3 and q in p and len(p) - len(q) <= TITLE:
                     extra = p.replace(q, "", 1)
                     if p.startswith(q) or p.endswith(q):
                         yield "title", extra, ""
@@ -284,20 +289,57 @@ def _type_lessons(name: str) -> Iterator[tuple[str, str, str]]:
             yield "type", name[core:], ""
 
 
-def _bounded(counts: DataFrame, least: int) -> list[tuple[str, str, str, int]]:
-    """Rows of (what, a, b, n) with n of ``least`` or more; of as many more as it takes to have at most LEARNED rows."""
-    counts = cut(counts)
-    while counts.where(F.col("n") >= least).count() > LEARNED:
-        least *= 2
-    return [tuple(r) for r in counts.where(F.col("n") >= least).select("what", "a", "b", "n").collect()]
+def _asked(model: Model, text: str, named: bool) -> set[tuple[str, str]]:
+    """(what, from) of all learned rewritings that the keys and lessons of a text, an entity's name or a form, can depend on."""
+    asked = {(what, w) for w in _words(text) for what in ("nick", "full", "word")}
+    p = model.plain(text)
+    if _han_only(p):
+        asked |= {(what, c) for c in p for what in ("given", "family")}
+        asked |= {("title", t) for k in range(1, min(TITLE, len(p) - 2) + 1) for t in (p[:k], p[-k:])}
+        if named:
+            asked |= {(what, p[k:]) for k in range(2, len(p)) for what in ("type", "tail")}
+    return asked
+
+
+def _known(sent, pdf: pd.DataFrame) -> Model:
+    """The broadcast model, with the rewritings that a batch brings along where they are not in it."""
+    if "learned" not in pdf:
+        return sent.value
+    rows = {(x["what"], x["a"], x["b"], x["n"]) for own in pdf["learned"] if own is not None for x in own}
+    return Model(rows, sent.value.fold)
+
+
+class Lore:
+    """All that was learned: foldings (a row for each character) and rewritings (what, a, b, n), in a broadcast model or as a table."""
+
+    def __init__(self, folds: list[tuple[str, str, str, int]], learned: DataFrame):
+        learned = cut(learned)
+        few = learned.count() <= LEARNED
+        rows = [tuple(r) for r in learned.collect()] if few else []  # at most LEARNED
+        self.sent = learned.sparkSession.sparkContext.broadcast(Model([*folds, *rows]))
+        full = learned.where("what = 'nick'").select(F.lit("full").alias("what"), F.col("b").alias("a"), F.col("a").alias("b"), "n")
+        self.more = None if few else learned.unionByName(full)
+
+    def attach(self, rows: DataFrame, text: str, named: bool) -> DataFrame:
+        """``rows``, with the rewritings that the column ``text`` can depend on as ``learned`` if they are not in the broadcast model."""
+        if self.more is None:
+            return rows
+        sent = self.sent
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(t, *x) for t in pdf["t"] for x in _asked(sent.value, t, named)], columns=["t", "what", "a"])
 
-def learn(entities: DataFrame, linked: DataFrame) -> Model:
-    """The model from the entities (eid, etype, name, name_cht) and linked forms (form, eid).
+        asked = rows.select(F.col(text).alias("t")).distinct().mapInPandas(run, "t string, what string, a string")
+        found = asked.join(shuffled(self.more), ["what", "a"]).groupBy("t").agg(F.collect_list(F.struct("what", "a", "b", "n")).alias("learned"))
+        return rows.join(shuffled(found.withColumnRenamed("t", text)), text, "left")
+
+
+def learn(entities: DataFrame, linked: DataFrame) -> Lore:
+    """What entities (eid, etype, name, name_cht) and linked forms (form, eid) teach.
 
     Counted in the workers, then by key; rewritings seen with fewer than LEAST different entities are left out.
     """
-    spark = entities.sparkSession
 
     def folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -310,7 +352,9 @@ def learn(entities: DataFrame, linked: DataFrame) -> Model:
 
     schema = "what string, a string, b string, n long"
     both = entities.where("name is not null and name_cht is not null").select("name", "name_cht")
-    pairs = _bounded(both.mapInPandas(folds, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n")), 1)  # pairs of characters
+    folded = both.mapInPandas(folds, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    most = folded.groupBy("what", "a").agg(F.max(F.struct("n", "b")).alias("x")).select("what", "a", "x.b", "x.n")
+    pairs = [tuple(r) for r in most.collect()]  # a row for each Han character
     model = Model(pairs)
 
     def types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -319,30 +363,34 @@ def learn(entities: DataFrame, linked: DataFrame) -> Model:
             yield pd.DataFrame([(w, a, b, 1) for w, a, b in rows], columns=["what", "a", "b", "n"])
 
     bodies = entities.where("name is not null and etype <> 'PER'").select("name")
-    pairs += _bounded(bodies.mapInPandas(types, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n")), 8)  # endings of names, each held by many entities
-    model = Model(pairs)
+    kinds = cut(bodies.mapInPandas(types, schema).groupBy("what", "a", "b").agg(F.sum("n").alias("n")).where("n >= 8"))  # each held by many entities
+    lore = Lore(pairs, kinds)
+    sent = lore.sent
 
     def lessons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(*x, e) for f, e, t, n in zip(pdf["form"], pdf["eid"], pdf["etype"], pdf["name"]) for x in _lessons(model, f, t, n)]
+            known = _known(sent, pdf)
+            rows = [(*x, e) for f, e, t, n in zip(pdf["form"], pdf["eid"], pdf["etype"], pdf["name"]) for x in _lessons(known, f, t, n)]
             yield pd.DataFrame(rows, columns=["what", "a", "b", "eid"])
 
+    shown = linked.join(entities.where("name is not null").select("eid", "etype", "name"), "eid").select("form", "eid", "etype", "name")
     taught = (
-        linked.join(entities.where("name is not null").select("eid", "etype", "name"), "eid")
-        .select("form", "eid", "etype", "name")
+        lore.attach(shown, "name", True)
         .mapInPandas(lessons, "what string, a string, b string, eid string")
         .groupBy("what", "a", "b")
         .agg(F.countDistinct("eid").alias("n"))
+        .where(F.col("n") >= LEAST)
     )
-    return Model(pairs + _bounded(taught, LEAST))
+    return Lore(pairs, kinds.unionByName(taught))
 
 
-def _keyed(rows: DataFrame, model, make, columns: list[str], carry: str) -> DataFrame:
-    """``carry``, key, channel: the keys that ``make`` gives, each with its likeliest channel; ``model`` is a broadcast one."""
+def _keyed(rows: DataFrame, lore: Lore, make: Callable, columns: list[str], carry: str) -> DataFrame:
+    """``carry``, key, channel: the keys that ``make`` gives, each with its likeliest channel; the last of ``columns`` is the text."""
+    sent = lore.sent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = model.value
         for pdf in batches:
+            known = _known(sent, pdf)
             out = []
             for values in pdf[columns].itertuples(index=False):
                 best: dict[str, str] = {}
@@ -352,41 +400,36 @@ def _keyed(rows: DataFrame, model, make, columns: list[str], carry: str) -> Data
                 out += [(values[0], k, c) for k, c in best.items()]
             yield pd.DataFrame(out, columns=[carry, "key", "channel"])
 
-    return rows.select(*columns).mapInPandas(run, f"{carry} string, key string, channel string")
+    return lore.attach(rows.select(*columns), columns[-1], make is name_keys).mapInPandas(run, f"{carry} string, key string, channel string")
 
 
 def _costs(values: dict[str, float], channel: str):
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col(channel)]
 
 
-def candidates(forms: DataFrame, entities: DataFrame, linked: DataFrame, model: Model) -> DataFrame:
+def candidates(forms: DataFrame, entities: DataFrame, linked: DataFrame, lore: Lore) -> DataFrame:
     """form, eid, typed, made: the entities each form (one row per form) may name, with the channels of form and name that are likeliest."""
-    sent = forms.sparkSession.sparkContext.broadcast(model)
+    sent = lore.sent
     names = entities.select("eid", "etype", F.explode(F.array("name", "name_cht")).alias("name")).where("name is not null").distinct()
-    ours = _keyed(names, sent, name_keys, ["eid", "etype", "name"], "eid").withColumnRenamed("channel", "made")
-    theirs = _keyed(spread(forms.withColumn("text", F.col("form"))), sent, form_keys, ["form", "text"], "form").withColumnRenamed("channel", "typed")
+    ours = _keyed(names, lore, name_keys, ["eid", "etype", "name"], "eid").withColumnRenamed("channel", "made")
+    theirs = _keyed(spread(forms.withColumn("text", F.col("form"))), lore, form_keys, ["form", "text"], "form").withColumnRenamed("channel", "typed")
 
     @F.pandas_udf("string")
     def plain(texts: pd.Series) -> pd.Series:
         known = sent.value
         return texts.map(lambda t: known.plain(t))
 
-    @F.pandas_udf("boolean")
-    def near(forms: pd.Series, names: pd.Series) -> pd.Series:
-        known = sent.value
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solid = lambda t: "".join(w for w in _words(t) if w not in _LITTLE)
-        return pd.Series([any(one_error(x, solid(b)) for x in _solid_forms(known, _words(a))) for a, b in zip(forms, names)])
+        for pdf in batches:
+            known = _known(sent, pdf)
+            kept = [any(one_error(x, solid(b)) for x in _solid_forms(known, _words(a))) for a, b in zip(pdf["form"], pdf["name"])]
+            yield pdf.loc[kept, ["form", "eid", "typed", "made"]]
 
     met = theirs.join(ours, "key").select("form", "eid", "typed", "made", F.col("key").startswith("d|").alias("edited"))
     clean = met.where("not edited").select("form", "eid", "typed", "made")
-    typo = (
-        met.where("edited")
-        .select("form", "eid", "typed", "made")
-        .distinct()
-        .join(names.select("eid", "name").distinct(), "eid")
-        .where(near("form", "name"))
-        .select("form", "eid", "typed", "made")
-    )
+    edited = met.where("edited").select("form", "eid", "typed", "made").distinct().join(names.select("eid", "name").distinct(), "eid")
+    typo = lore.attach(edited.select("form", "eid", "typed", "made", "name"), "form", False).mapInPandas(near, "form string, eid string, typed string, made string")
     seen = (
         forms.select("form", plain("form").alias("p"))
         .where("p <> ''")
@@ -418,12 +461,12 @@ def link_variants(mentions: DataFrame, entities: DataFrame, aliases: DataFrame)
     named = aliases.where("form is not null and eid like 'Q%'").select("form", "eid")
     linked_rows = rows.where("wikiID is not null").select("aid", "form", F.col("wikiID").alias("eid"))
     linked = cut(linked_rows.select("form", "eid").unionByName(named).distinct())
-    model = learn(known, linked)
+    lore = learn(known, linked)
     unlinkable = aliases.groupBy("form").agg(F.max(F.coalesce("eid", F.lit(""))).alias("most")).where("most = ''").select("form")
     open_rows = rows.where("wikiID is null").join(F.broadcast(unlinkable) if _is_small(unlinkable) else unlinkable, "form", "left_anti")
     taught = linked_rows.select("form", "eid").distinct()
     forms = open_rows.select("form").unionByName(taught.select("form")).distinct()
-    found = cut(candidates(forms, known, linked, model))
+    found = cut(candidates(forms, known, linked, lore))
     costs = learned_costs(found, taught)
     prior = linked_rows.groupBy("eid").agg(F.count("*").alias("n"))
     cost = _costs(costs, "typed") + _costs(costs, "made")

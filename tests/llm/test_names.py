@@ -61,3 +61,24 @@ def test_every_reading_is_kept():
     counts = [("given", c, r, 5) for c in "甲乙丙" for r in ("ja", "ya", "jia", "yi")] + [("family", "王", "wang", 9)]
     keys = {k for k, _ in nv.name_keys(nv.Model(counts), "PER", "王甲乙丙")}
     assert sum(k.startswith("r|wang|") for k in keys) == 4**3
+
+
+def test_learned_rewritings_beyond_the_bound_are_joined(spark):
+    people = [("王小明", "Wang Xiaoming"), ("王大同", "Wang Datong"), ("李小同", "Li Xiaotong"), ("李大明", "Li Daming")]
+    entities = [(f"Q{i}", "PER", n, n.replace("王", "汪")) for i, (n, _) in enumerate(people)]
+    entities += [(f"Q{10 + i}", "PER", f"Robert {x}", None) for i, x in enumerate(("Harlow", "Dunmore", "Kestrel", "Whitfield"))]
+    entities += [(f"Q{20 + i}", "ORG", f"{a}有限公司", None) for i, a in enumerate("東方 西山 南海 北川 中原 大湖 高地 平野 長河 新城".split())]
+    e = spark.createDataFrame(entities, "eid string, etype string, name string, name_cht string")
+    taught = [(f"{n}教授", f"Q{i}") for i, (n, _) in enumerate(people[:2])] + [(b.replace(" ", ", "), f"Q{i}") for i, (_, b) in enumerate(people)]
+    taught += [("Bob Harlow", "Q10"), ("Bob Dunmore", "Q11"), ("東方公司", "Q20"), ("西山公司", "Q21")]
+    asked = ["李小同教授", "汪小明", "Bob Kestrel", "Bob Whitfeild", "南海公司", "nobody", "教授"]
+    rows = [("a", 0, i, f, "PER", eid, None, 0.0) for i, (f, eid) in enumerate(taught)] + [("z", 1, i, f, "PER", None, None, 0.0) for i, f in enumerate(asked)]
+    mentions, aliases = spark.createDataFrame(rows, M), spark.createDataFrame([], A)
+    found = lambda: {asked[r.eidx]: r.wikiID for r in nv.link_variants(mentions, e, aliases).collect()}
+    want = found()
+    assert {"李小同教授": "Q2", "汪小明": "Q0", "Bob Kestrel": "Q12", "Bob Whitfeild": "Q13", "南海公司": "Q22"}.items() <= want.items()
+    kept, nv.LEARNED = nv.LEARNED, 0
+    try:
+        assert found() == want
+    finally:
+        nv.LEARNED = kept
