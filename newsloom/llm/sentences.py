@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.textform import IGNORABLE, LOOKALIKES, _TABLE
-from newsloom.plans.runtime import cut
+from newsloom.plans.runtime import cut, shuffled
 
 # Abbreviations that never end a sentence when another word follows.
 TITLES = frozenset(
@@ -49,7 +49,7 @@ STOPS = "。！？!?।॥｡؟"
 SEEN = 30
 #: ... and closes a paragraph in less than this share of the cases (ordinary words do so far more often).
 CLOSES = 0.02
-#: Abbreviations that may come to the driver.
+#: Abbreviations that may come to the driver; if there are more, they are joined to the texts that hold them instead.
 LEARNED = 100_000
 
 _PARAGRAPH = re.compile(r"\\n|[\n\r\x0b\x0c\x85\u2028\u2029]+")
@@ -119,6 +119,7 @@ class Evidence:
         self.never = never | TITLES
         self.here: set[str] = set()
         self.text = ""
+        self.more: DataFrame | None = None  # word: further types, to be joined to the texts
 
     def read(self, text: str) -> None:
         """Unambiguous occurrences in this text: a stop before a small letter, a figure or a comma."""
@@ -321,8 +322,8 @@ def corpus_evidence(texts: DataFrame) -> Evidence:
     """Counts over all texts (column text): which words with a stop never close a paragraph and which do.
 
     Words are counted in the workers before the shuffle. Only words seen SEEN times or more that behave like abbreviations come
-    to the driver; their number is that of abbreviations in a language, not of documents. Should there be more than LEARNED, only
-    words seen more often count.
+    to the driver; their number is that of abbreviations in a language, not of documents. Should there be more than LEARNED, they
+    stay a table that ``sentence_units`` joins to the texts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,22 +341,56 @@ def corpus_evidence(texts: DataFrame) -> Evidence:
         .where((F.col("n") >= SEEN) & (F.length("word") <= 8) & ~F.col("word").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\d]"))
         .where(F.col("closing") < CLOSES * F.col("n"))
     )
-    counted, least = cut(counted.select("word", "n")), SEEN
-    while counted.where(F.col("n") >= least).count() > LEARNED:
-        least *= 2
-    return Evidence(frozenset(r.word for r in counted.where(F.col("n") >= least).collect()))  # at most LEARNED
+    never = cut(counted.select("word"))
+    if never.count() <= LEARNED:
+        return Evidence(frozenset(r.word for r in never.collect()))  # at most LEARNED
+    evidence = Evidence()
+    evidence.more = never
+    return evidence
+
+
+def words_before_stops(text: str) -> set[str]:
+    """All words whose stop may be looked up when the text is divided."""
+    found = set()
+    for paragraph in _PARAGRAPH.split(_shadow(text)[0]):
+        at = paragraph.find(".")
+        while at >= 0:
+            word = _WORD_BEFORE.search(paragraph[max(0, at - 40) : at])
+            if word:
+                found.add(_own_part(word.group()).lower())
+            at = paragraph.find(".", at + 1)
+    return found
+
+
+def _with_words(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with ``never``: those of the ``known`` (word) that stand before a stop in the text."""
+    keyed = rows.withColumn("_text", F.xxhash64("text"))  # texts of one hash share their words, which are known ones all the same
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(t, w) for t, text in zip(pdf["_text"], pdf["text"]) for w in words_before_stops(text)], columns=["_text", "word"])
+
+    held = keyed.select("_text", "text").mapInPandas(run, "_text long, word string").join(shuffled(known), "word")
+    return keyed.join(shuffled(held.groupBy("_text").agg(F.collect_set("word").alias("never"))), "_text", "left").drop("_text")
 
 
 def sentence_units(rows: DataFrame, evidence: Evidence | None = None) -> DataFrame:
     """``rows`` (field, rec_key, text, whole boolean) -> field, rec_key, start_pos, end_pos; repeated rows count once.
 
-    ``whole`` marks titles, which are one sentence. The texts are never shuffled: repeats are dropped among the places found.
+    ``whole`` marks titles, which are one sentence. The texts are not shuffled, unless there is a table of further evidence: repeats are dropped
+    among the places found.
     """
-    never = (evidence or Evidence()).never
+    evidence = evidence or Evidence()
+    never = evidence.never
+    rows = rows.where("rec_key is not null and text is not null")
+    if evidence.more is not None:
+        rows = _with_words(rows, evidence.more)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Evidence(never)
         for pdf in batches:
+            if "never" in pdf:
+                known.never = never.union(*(x for x in pdf["never"] if x is not None))
             out = []
             for f, k, text, whole in zip(pdf["field"], pdf["rec_key"], pdf["text"], pdf["whole"]):
                 spans = sentence_spans(text, known)
@@ -364,4 +399,4 @@ def sentence_units(rows: DataFrame, evidence: Evidence | None = None) -> DataFra
                 out += [(f, k, a, b) for a, b in spans]
             yield pd.DataFrame(out, columns=["field", "rec_key", "start_pos", "end_pos"])
 
-    return rows.where("rec_key is not null and text is not null").mapInPandas(run, "field string, rec_key string, start_pos int, end_pos int").distinct()
+    return rows.mapInPandas(run, "field string, rec_key string, start_pos int, end_pos int").distinct()

@@ -61,6 +61,20 @@ def test_sentence_units_and_evidence(spark):
     assert len(sentence_spans(long)) == 2
 
 
+def test_abbreviations_beyond_the_bound_are_joined(spark):
+    texts = [f"He met Xqz. Bo and left. It was number {i}." for i in range(40)] + [f"\uff38qv. Bo and Zzk. Cy came.\\nIt was number {i}." for i in range(60)] + ["Zzk. Xqz. Al.", "No stop", "", None]
+    rows = spark.createDataFrame([("content", str(i), t, i % 7 == 0) for i, t in enumerate(texts)], "field string, rec_key string, text string, whole boolean")
+    found = lambda: {tuple(r) for r in sentences.sentence_units(rows, sentences.corpus_evidence(rows)).collect()}
+    want = found()
+    assert ("content", "1", 0, 41) in want and ("content", "100", 0, 13) in want
+    kept = sentences.LEARNED
+    try:
+        for sentences.LEARNED in (0, 2):
+            assert found() == want
+    finally:
+        sentences.LEARNED = kept
+
+
 def test_token_ids_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(token_ids.TOKENIZER)
