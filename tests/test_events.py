@@ -90,6 +90,7 @@ def test_times_of_articles_are_not_broadcast_by_the_size_of_their_files(spark, t
     t = spark.read.parquet(str(tmp_path / "t"))
     e = V.cluster_events(t.select(F.lit("b").alias("block"), "id", F.lit(0).alias("cluster")), t, "id")
     assert "BroadcastHashJoin" not in V.article_events(e)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in V.event_lists(e)._jdf.queryExecution().executedPlan().toString()
     assert V.article_events(e).count() == 100
 
 
