@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import summaries as S
 from newsloom.operators import traits
 from newsloom.operators import vectors as V
+from newsloom.plans import event_queries
 from newsloom.streaming import incremental as I
 
 
@@ -94,6 +95,17 @@ def test_times_of_articles_are_not_broadcast_by_the_size_of_their_files(spark, t
     assert V.article_events(e).count() == 100
 
 
+def test_events_of_articles_send_no_side_of_a_join_to_the_driver(spark, tmp_path):
+    text, other = "甲乙丙丁", "戊己庚辛"
+    rows = [("a", "2021-02-01 10:00:00", text), ("b", "2021/02/01 09:00", text), ("c", "2021-02-01 11:00:00", other), ("d", "2021-02-02 08:00:00", text), ("e", None, text), ("f", "2021-02-02 09:00:00", None)]
+    spark.createDataFrame(rows, "id string, time string, content string").write.parquet(str(tmp_path / "articles.parquet"))
+    e = event_queries.cluster_events(spark, str(tmp_path))
+    planned = e._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in e.collect()} == {("2021-02-010000000000", "b,a"), ("2021-02-010000000001", "c"), ("2021-02-020000000000", "d")}
+    for plan in (planned, e._jdf.queryExecution().executedPlan().toString()):  # also as adapted while it ran
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 3
+
+
 def test_choice_of_sentences():
     rows = [(0, "A", list("abcdefgh"), 3.0), (1, "B", list("abcdefgz"), 2.0), (2, "C", list("xaby"), 1.0), (3, "D", list("qrs"), 0.5), (4, "E", list("ybc"), 0.4)]
     assert S.choose(rows) == ["A", "C", "E"]
