@@ -106,6 +106,21 @@ def test_events_of_articles_send_no_side_of_a_join_to_the_driver(spark, tmp_path
         assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 3
 
 
+def test_joins_of_events_of_articles_do_not_depend_on_the_broadcast_threshold(spark, tmp_path):
+    rows = [(f"a{i}", f"2021-02-0{1 + i % 3} 10:00:{i:02d}", "甲乙丙丁" if i % 2 else "戊己庚辛") for i in range(30)]
+    spark.createDataFrame(rows, "id string, time string, content string").write.parquet(str(tmp_path / "articles.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10g")  # any estimate is below it
+    try:
+        e = event_queries.cluster_events(spark, str(tmp_path))
+        planned = e._jdf.queryExecution().executedPlan().toString()
+        members = [a for r in e.collect() for a in r.aid.split(",")]
+        adapted = e._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(members) == sorted(r[0] for r in rows)
+    assert "BroadcastHashJoin" not in planned + adapted
+
+
 def test_choice_of_sentences():
     rows = [(0, "A", list("abcdefgh"), 3.0), (1, "B", list("abcdefgz"), 2.0), (2, "C", list("xaby"), 1.0), (3, "D", list("qrs"), 0.5), (4, "E", list("ybc"), 0.4)]
     assert S.choose(rows) == ["A", "C", "E"]
